@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -43,6 +44,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Remove scratch tables that nothing reads any more, and let Spark clean up the shuffles behind them."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
+
 def order_id(column: str | Column) -> Column:
     """doc_id as a sort key without nulls."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("long"), F.lit(NULL_ID))

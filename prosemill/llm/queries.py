@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosemill.llm import (
-    fingerprints, jaccard_join, line_dedup, mixing, quality_gam, quality_rules, sharding, token_counts,
+    fingerprints, jaccard_join, line_dedup, mixing, piece_sampling, quality_gam, quality_rules, sharding, substring_dedup,
+    token_counts,
 )
 from prosemill.llm.common import table
 
@@ -22,6 +23,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score_quality(docs, quality_gam.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.labelled_domains(table(spark, sf_dir, "labels"))
     return mixing.fit_mixture(table(spark, sf_dir, "documents"), labelled, mixing.WEIGHTS).table()
@@ -44,6 +49,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sample_encodings(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.compression_rules(table(spark, sf_dir, "documents"))
 
@@ -51,8 +60,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_fingerprints, op2_quality, op4_mixing, op5_line_dedup, op6_token_counts, op7_sharding, op8_jaccard_join,
-        op10_quality_rules,
+        op1_fingerprints, op2_quality, op3_substring_dedup, op4_mixing, op5_line_dedup, op6_token_counts, op7_sharding,
+        op8_jaccard_join, op9_piece_sampling, op10_quality_rules,
     )
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_substring_dedup": substring_dedup.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE,
+}
