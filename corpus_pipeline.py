@@ -7,6 +7,7 @@ the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from prosemill.llm.common import table, written
 from prosemill.llm.jaccard_join import keep_one
@@ -23,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sites carry go, but for their first occurrence; documents left without a word go."""
-    return drop_boilerplate(docs)
+    return drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
