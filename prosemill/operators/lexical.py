@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from prosemill.functions import text as T
 from prosemill.operators.evidence import rank_evidence
@@ -93,7 +94,7 @@ def vocd_of(words: list[str]) -> float | None:
     return float((low * high) ** 0.5)
 
 
-@F.pandas_udf("struct<mattr double, mtld double, vocd_d double>")
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("mattr", "mtld", "vocd_d")]))
 def diversity(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """The three measures of word sequences, given as words joined by spaces. Order matters, so no built-in does it."""
     for batch in texts:
