@@ -29,11 +29,7 @@ def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
 
 def scratch(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of our own only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), "prosemill-scratch")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "prosemill-scratch")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

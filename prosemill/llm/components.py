@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import written
+from prosemill.llm.common import dropped, written
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("hi", "lo"), F.lit(1 << 40)))).first()
-    return row[0], row[1]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node but the centres has one edge, and no centre any to a lesser node."""
+    chained = edges.join(edges.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").isEmpty()
+    return chained and edges.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,11 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
     now = written(pairs.distinct(), "edges")
-    before = None
-    while (state := _state(now)) != before:
-        before = state
-        if not state[0]:
-            break
+    while not _are_stars(now):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
@@ -32,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(down, "hi")
         small = joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(down)
-        now = written(small.distinct(), "small-star")
+        old, now = now, written(small.distinct(), "small-star")
+        dropped(large, old)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(
         now.select(F.col("lo").alias("node"), F.col("lo").alias("comp")).distinct()
     )

@@ -8,8 +8,11 @@ ones by the inverted lists of their first shingles (l = 1); light sets that a he
 these lists too. The boundary is the size up to which subsets cost less than lists, by the corpus's own list
 lengths. Equal sets are one node. Candidates are checked by the sets themselves.
 
+Of a pair, the smaller set can do with fewer first shingles (its index prefix); for frequent shingles, whose lists
+are long, only such entries of the smaller set count.
+
 Only the groups are asked for, so not all links inside one are looked at: rounds of stars (each list's members
-against one of them) first, then every candidate pair whose ends are still in different groups. That loses no
+against a few of them) first, then every candidate pair whose ends are still in different groups. That loses no
 group: a pair that isn't checked has both ends in one already.
 """
 
@@ -20,23 +23,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.llm.common import (
-    NULL_ID, as_bytes, bitmaps, has_bit, mixed, order_id, slot_of, slots, small_batches, text_key, window_hashes, word_hashes, written,
+    NULL_ID, as_bytes, bitmaps, dropped, has_bit, mixed, order_id, slot_of, slots, small_batches, text_key, window_hashes, word_hashes, written,
 )
 from prosemill.llm.components import components
 
 SHINGLE = 5
 #: Similarity 0.8 as a fraction.
 NUM, DEN = 4, 5
-#: Shingles on longer lists than this come last in the order.
-HOT = 64
-#: Bits of the filters for such shingles and for signatures that more than one document has.
-HOT_BITS, REPEATED_BITS = 24, 27
+#: Lists longer than this are long; shingles counted so much over what a counter holds by chance come last.
+HOT = 32
+#: Bits of the filters for late shingles (with a counter for each) and for signatures that more than one document has.
+HOT_BITS, REPEATED_BITS = 22, 27
+#: Counters in a row, and rows that are added up at once.
+CHUNK, FAN_IN = 1 << 16, 64
 #: Star rounds, and the stars' centres that a set is checked against in a round.
-ROUNDS, CENTRES = 3, 2
+ROUNDS, CENTRES = 2, 4
 #: Light sets are no larger than this, whatever the costs.
 MOST_LIGHT = 64
 
@@ -54,23 +61,38 @@ def overlap(n: int) -> int:
     return -(-NUM * n // DEN)
 
 
-def ordered(found: np.ndarray, hot: np.ndarray | None) -> np.ndarray:
-    """A set in the common order."""
-    if hot is None or not len(found):
-        return found
-    late = has_bit(hot, slots(found, HOT_BITS))
-    return np.concatenate([found[~late], found[late]])
+def index_overlap(n: int) -> int:
+    """The same for sets that are no smaller."""
+    return -(-2 * NUM * n // (NUM + DEN))
+
+
+#: What an entry is: on an inverted list (else a subset), on a long list, of the index prefix alone, of late shingles alone.
+LIST, FREQUENT, INDEX, LATE = 1, 2, 4, 8
 
 
-def signatures(found: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray]:
-    """What to join a set (in the common order) by: shingles of its first ones, and subsets of two of them."""
-    n = len(found)
-    lists = found[: n - overlap(n) + 1] if n >= overlap(boundary + 1) or n > boundary else found[:0]
-    if n > boundary or n < 2:
-        return lists, found[:0]
-    first = np.sort(found[: n - overlap(n) + 2])
-    i, j = np.triu_indices(len(first), 1)
-    return lists, mixed(first[i] * np.uint64(0xC2B2AE3D27D4EB4F) + mixed(first[j]))
+def signatures(found: np.ndarray, hot: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What to join a set by, what each of these is, and its place in the order (for subsets 0)."""
+    n, none = len(found), (found[:0], np.empty(0, np.int8), np.empty(0, np.int32))
+    if not n:
+        return none
+    late = has_bit(hot, slots(found, HOT_BITS))
+    order = np.argsort(late, kind="stable")
+    found, late = found[order], late[order]
+    probe, index = n - overlap(n) + 1, n - index_overlap(n) + 1
+    sigs, kinds, places = [], [], []
+    if n > boundary or n >= overlap(boundary + 1):
+        sigs.append(found[:probe])
+        kinds.append(LIST + (FREQUENT + LATE) * late[:probe] + INDEX * (np.arange(probe) < index))
+        places.append(np.arange(probe))
+    if 2 <= n <= boundary:
+        i, j = np.triu_indices(min(n, probe + 1), 1)
+        low, high = np.minimum(found[i], found[j]), np.maximum(found[i], found[j])
+        sigs.append(mixed(low * np.uint64(0xC2B2AE3D27D4EB4F) + mixed(high)))
+        kinds.append((FREQUENT + LATE) * (late[i] & late[j]) + INDEX * (j < index + 1))
+        places.append(np.zeros(len(i), int))
+    if not sigs:
+        return none
+    return np.concatenate(sigs), np.concatenate(kinds).astype(np.int8), np.concatenate(places).astype(np.int32)
 
 
 def boundary_by_cost(mean_list: float) -> int:
@@ -85,162 +107,260 @@ def boundary_by_cost(mean_list: float) -> int:
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("th")
+        F.col(id_col).cast("long").alias("doc_id"), order_id(id_col).alias("dk"), text_key(text_col).alias("th"),
+        F.col(text_col).cast("string").alias("text"),
     )
 
 
+def _counters(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), np.int64)
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """The counters of rows of the same chunk, added up."""
+    total = sum(_counters(x) for x in table.column("counters").to_pylist())
+    return pa.table({"chunk": table.column("chunk").slice(0, 1), "task": pa.array([table.column("task")[0].as_py() // FAN_IN], pa.int32()), "counters": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def late_shingles(plain: DataFrame) -> tuple[bytes, float]:
+    """A bitmap of the shingles that many documents have, and the mean length of a shingle's list.
+
+    A task counts all its documents' shingles in 2**HOT_BITS counters by hash; these are added up in rounds. A
+    counter that exceeds what it holds by chance by more than HOT marks its shingles; some marks are false, which
+    only changes the order. The mean length is the second moment of the counts over the first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(1 << HOT_BITS, np.int64)
+        for batch in batches:
+            found = [shingles(raw) for raw in as_bytes(batch.column(0))]
+            places = slots(np.concatenate([np.empty(0, np.uint64), *found]), HOT_BITS)
+            np.add(counters, np.bincount(places.view(np.int64), minlength=len(counters)), out=counters)
+        task, chunks = TaskContext.get().partitionId(), counters.reshape(-1, min(CHUNK, len(counters)))
+        yield pa.RecordBatch.from_pydict({
+            "chunk": pa.array(range(len(chunks)), pa.int32()), "task": pa.array([task] * len(chunks), pa.int32()),
+            "counters": pa.array([zstandard.compress(c.tobytes(), 1) for c in chunks], pa.binary()),
+        })
+
+    schema = "chunk int, task int, counters binary"
+    rows, left = plain.select("text").mapInArrow(run, schema), plain.rdd.getNumPartitions()
+    while True:
+        rows = rows.groupBy("chunk", F.floor(F.col("task") / FAN_IN).alias("group")).applyInArrow(_added, schema)
+        if left <= FAN_IN:
+            break
+        left = -(-left // FAN_IN)
+    rows = written(rows, "counters")
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_counters(x) for x in batch.column(0).to_pylist()]
+            sums = [float(c.sum()) for c in found], [float((c.astype(float) ** 2).sum()) for c in found]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()) for x in sums], ["a", "b"])
+
+    first, second = rows.select("counters").mapInArrow(moments, "a double, b double").agg(F.sum("a"), F.sum("b")).first()
+    m = 1 << HOT_BITS
+    mean = (first or 0.0) / m
+    most = mean + 6 * mean**0.5 + HOT
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(_counters(x) > most, bitorder="little").tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["chunk", "bits"])
+
+    size = min(CHUNK, m) // 8
+    out = bytearray(m // 8)
+    for row in rows.select("chunk", "counters").mapInArrow(marked, "chunk int, bits binary").collect():  # m / 8 bytes in all
+        out[row["chunk"] * size : (row["chunk"] + 1) * size] = row["bits"]
+    square = ((second or 0.0) - m * mean**2) / (1 - 1 / m)
+    dropped(rows)
+    return bytes(out), max(1.0, square / first) if first else 1.0
+
+
 def _listed(plain: DataFrame, hot, boundary: int) -> DataFrame:
     """sig: all signatures of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = None if hot is None else np.frombuffer(hot.value, np.uint8)
+        marks = np.frombuffer(hot.value, np.uint8)
         for batch in batches:
-            parts = [x for raw in as_bytes(batch.column(0)) for x in signatures(ordered(shingles(raw), marks), boundary)]
+            parts = [signatures(shingles(raw), marks, boundary)[0] for raw in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64))], ["sig"])
 
     return plain.select("text").mapInArrow(run, "sig long")
 
 
-TABLE = "doc_id long, th long, cls binary, n int, list long, subset long, shingles array<long>"
+TABLE = "dk long, n int, frequent int, late int, doc_id long, th long, cls binary, sig long, kind byte, place int"
 
 
-def _tabled(plain: DataFrame, hot, repeated, boundary: int) -> DataFrame:
-    """A row for each document (its class; its set, if it has a repeated signature) and for each such signature."""
+def _tabled(plain: DataFrame, hot, repeated, long, boundary: int) -> DataFrame:
+    """A row for each document (cls: a digest of its set) and for each of its repeated signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, twice = np.frombuffer(hot.value, np.uint8), np.frombuffer(repeated.value, np.uint8)
+        late, twice, many = (np.frombuffer(x.value, np.uint8) for x in (hot, repeated, long))
+        columns = [x.split()[0] for x in TABLE.split(", ")]
         for batch in batches:
-            names, sizes, sets = [], [], []
-            found: list[list[np.ndarray]] = [[], []]
-            owners: list[list[np.ndarray]] = [[], []]
-            for k, raw in enumerate(as_bytes(batch.column(1))):
+            names, sizes, frequent, common = [], [], [], []
+            found, kinds, places, owners = ([np.empty(0, t)] for t in (np.uint64, np.int8, np.int32, np.int64))
+            for k, raw in enumerate(as_bytes(batch.column("text"))):
                 whole = shingles(raw)
-                some = False
-                for kind, sigs in enumerate(signatures(ordered(whole, late), boundary)):
-                    sigs = sigs[has_bit(twice, slots(sigs, REPEATED_BITS))]
-                    found[kind].append(sigs)
-                    owners[kind].append(np.full(len(sigs), k))
-                    some = some or len(sigs) > 0
+                sigs, kind, place = signatures(whole, late, boundary)
+                at = slots(sigs, REPEATED_BITS)
+                some = has_bit(twice, at)
+                kind |= (FREQUENT * has_bit(many, at)).astype(np.int8)
+                found.append(sigs[some]), kinds.append(kind[some]), places.append(place[some]), owners.append(np.full(int(some.sum()), k))
                 names.append(xxhash.xxh3_128_digest(whole.tobytes()))
                 sizes.append(len(whole))
-                sets.append(whole.view(np.int64) if some else None)
-            arrays = [batch.column(0), batch.column(2), pa.array(names, pa.binary()), pa.array(sizes, pa.int32())]
-            empty = [pa.nulls(len(names), pa.int64())] * 2
-            columns = [x.split()[0] for x in TABLE.split(", ")]
-            yield pa.RecordBatch.from_arrays([*arrays, *empty, pa.array(sets, pa.list_(pa.int64()))], columns)
-            for kind in (0, 1):
-                if found[kind] and (rows := sum(map(len, found[kind]))):
-                    own = pa.array(np.concatenate(owners[kind]))
-                    sigs = [pa.nulls(rows, pa.int64())] * 2
-                    sigs[kind] = pa.array(np.concatenate(found[kind]).view(np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [*[pa.nulls(rows, pa.int64())] * 2, arrays[2].take(own), arrays[3].take(own), *sigs, pa.nulls(rows, pa.list_(pa.int64()))], columns
-                    )
-
-    return plain.mapInArrow(run, TABLE)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    x = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
+                common.append(int(has_bit(late, slots(whole, HOT_BITS)).sum()))
+                frequent.append(int((kind & (LIST + FREQUENT) == LIST + FREQUENT).sum()))
+            own, sums = batch.column("dk"), [pa.array(x, pa.int32()) for x in (sizes, frequent, common)]
+            ids = [batch.column("doc_id"), batch.column("th"), pa.array(names, pa.binary())]
+            yield pa.RecordBatch.from_arrays([own, *sums, *ids, *[pa.nulls(len(names), t) for t in (pa.int64(), pa.int8(), pa.int32())]], columns)
+            at = pa.array(np.concatenate(owners))
+            none = [pa.nulls(len(at), pa.int64())] * 2 + [pa.nulls(len(at), pa.binary())]
+            sigs = [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(places))]
+            yield pa.RecordBatch.from_arrays([own.take(at), *[x.take(at) for x in sums], *none, *sigs], columns)
+
+    return plain.select("doc_id", "dk", "th", "text").mapInArrow(run, TABLE)
+
+
+def _verified(pairs: DataFrame, plain: DataFrame, documents: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough. The texts of these nodes alone are looked up."""
+    nodes = pairs.select(F.col("a").alias("dk")).union(pairs.select("b")).distinct()
+    wanted = written(documents.where("dk = rep").select("dk", "th").join(nodes, "dk", "left_semi").distinct(), "wanted")
+    place = F.xxhash64("dk", "th")
+    bits = plain.sparkSession.sparkContext.broadcast(bitmaps(wanted, slot_of(place), HOT_BITS, wanted=F.lit(True))["wanted"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            places = batch.column("place").to_numpy(zero_copy_only=False).view(np.uint64)
+            some = batch.filter(pa.array(has_bit(marks, slots(places, HOT_BITS))))
+            sets = [shingles(raw).view(np.int64) for raw in as_bytes(some.column("text"))]
+            yield pa.RecordBatch.from_arrays([some.column("dk"), some.column("th"), pa.array(sets, pa.list_(pa.int64()))], ["dk", "th", "s"])
+
+    found = plain.select("dk", "th", "text", place.alias("place")).mapInArrow(run, "dk long, th long, s array<long>")
+    sets = written(found.join(wanted, ["dk", "th"], "left_semi").dropDuplicates(["dk", "th"]), "sets")
+    x, y = sets.select(F.col("dk").alias("a"), F.col("s").alias("x")), sets.select(F.col("dk").alias("b"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - both
-    return pairs.select("a", "b").join(y, "b").join(x, "a").where(DEN * both >= NUM * union).select("a", "b")
+    linked = pairs.select("a", "b").join(y, "b").join(x, "a").where(DEN * both >= NUM * (F.size("x") + F.size("y") - both))
+    out = written(linked.select("a", "b"), "links")
+    dropped(sets, wanted)
+    return out
 
 
-def _near(a: str, b: str):
-    return DEN * F.least(a, b) >= NUM * F.greatest(a, b)
+def _least_shared(na: str, nb: str):
+    """First shingles that two sets share at least, one of them heavy: the others are among the last of one."""
+    return F.ceil((F.col(na) + F.col(nb)) * NUM / (NUM + DEN)) - F.ceil(F.greatest(na, nb) * NUM / DEN) + 1
 
 
-def _stars(members: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
-    """Links between sets and the centres of their lists. members: sig, cls, n, comp."""
-    rank = F.xxhash64("cls", F.lit(turn))
+def _stars(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of sets and centres of their lists that may link. members: sig, kind, dk, n, frequent, comp.
+
+    A list's centres are its least members by CENTRES orders, the same for all lists, so that a set meets the same
+    centres in many of its lists. It need not find all links; a pair that shares far less than a link needs is
+    left to _rest.
+    """
+    centre = lambda i: F.min(F.struct(F.xxhash64("dk", F.lit(turn * CENTRES + i)).alias("rank"), "dk", "n", "comp"))
     centres = (
         members.groupBy("sig")
-        .agg(F.min(F.struct(rank.alias("rank"), "cls", "n", "comp")).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .agg(*[centre(i).alias(f"c{i}") for i in range(CENTRES)], F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         .where("lo <> hi")
+        .select("sig", F.array_distinct(F.array(*[F.struct(f"c{i}.dk", f"c{i}.n", f"c{i}.comp") for i in range(CENTRES)])).alias("centres"))
     )
-    pairs = (
+    fits = lambda c: (c["comp"] != F.col("comp")) & (DEN * F.least(c["n"], F.col("n")) >= NUM * F.greatest(c["n"], F.col("n")))
+    return (
         members.join(centres, "sig")
-        .where((F.col("comp") != F.col("c.comp")) & _near("n", "c.n"))
-        .groupBy(F.col("cls").alias("a"), F.col("c.cls").alias("b"))
+        .select(F.col("dk").alias("a"), F.col("n").alias("na"), F.explode(F.filter("centres", fits)).alias("c"))
+        .groupBy("a", F.col("c.dk").alias("b"), "na", F.col("c.n").alias("nb"))
         .agg(F.count("*").alias("shared"))
-        .groupBy("a")
-        .agg(F.sort_array(F.collect_list(F.struct("shared", "b")), asc=False).alias("best"))
-        .select("a", F.explode(F.slice("best", 1, CENTRES)).alias("best"))
-        .select("a", F.col("best.b").alias("b"))
+        .where(4 * F.col("shared") >= _least_shared("na", "nb"))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
     )
-    return _verified(written(pairs, "star-pairs"), sets)
 
 
-def _rest(members: DataFrame, sets: DataFrame, boundary: int) -> DataFrame:
-    """Links between sets that share a signature and are in different groups."""
+def _rest(members: DataFrame, boundary: int) -> DataFrame:
+    """All pairs of sets that share a signature, may link, and are in different groups.
+
+    The first shingle that two sets share is among the first of both, as few as these two sizes need; on long lists
+    no others count. What such lists could add to
+    the shingles that two sets share is at most the smaller number of frequent ones among their first. Sets on a
+    list of a late shingle have all their other shingles among their first; so if they have too few late ones to
+    link by these alone, they share another, and meet on its list. The places of a common shingle bound what two
+    sets can share.
+    """
     several = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
     left = written(members.join(several, "sig", "left_semi"), "rest")
-    one = left.select("sig", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "on_list")
-    two = left.select("sig", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    # pairs with a heavy set: shingles that aren't among the first of both are among the last of one
-    least = F.ceil((F.col("na") + F.col("nb")) * NUM / (NUM + DEN)) - F.ceil(F.greatest("na", "nb") * NUM / DEN) + 1
+    side = lambda x: left.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("dk", "n", "frequent", "late", "comp", "kind", "place")])
+    has = lambda c, bit: F.col(c).bitwiseAND(F.lit(bit)) > 0
+    # one is the smaller set, of equal ones that with the smaller id
+    smaller = F.struct("n_one", "dk_one") < F.struct("n_two", "dk_two")
+    needed = F.ceil((F.col("n_one") + F.col("n_two")) * NUM / (NUM + DEN))
+    # what they can share before a common shingle, and after it
+    after = F.least(F.col("n_one") - F.col("place_one"), F.col("n_two") - F.col("place_two")) - 1
     pairs = (
-        one.join(two, "sig")
-        .where((F.col("ca") < F.col("cb")) & _near("na", "nb"))
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.sum(F.col("on_list").cast("int")).alias("shared"))
-        .where((F.greatest("na", "nb") <= boundary) | (F.col("shared") >= least))
-    )
-    return _verified(written(pairs, "rest-pairs"), sets)
+        side("one").join(side("two"), "sig")
+        .where(smaller & (DEN * F.col("n_one") >= NUM * F.col("n_two")) & (F.col("comp_one") != F.col("comp_two")))
+        .where(~has("kind_one", FREQUENT) | has("kind_one", INDEX))
+        .where(~has("kind_one", LATE) | (F.least("late_one", "late_two") >= needed))
+        .where(~has("kind_one", FREQUENT) | ((F.col("place_one") <= F.col("n_one") - needed) & (F.col("place_two") <= F.col("n_two") - needed)))
+        .where(~has("kind_one", LIST) | (F.least("place_one", "place_two") + 1 + after >= needed))
+        .groupBy(F.col("dk_one").alias("a"), F.col("dk_two").alias("b"), F.col("n_one").alias("na"), F.col("n_two").alias("nb"),
+                 F.least("frequent_one", "frequent_two").alias("more"))
+        .agg(F.sum((has("kind_one", LIST) & ~has("kind_one", FREQUENT)).cast("int")).alias("shared"))
+        .where((F.col("nb") <= boundary) | (F.col("shared") + F.col("more") >= _least_shared("na", "nb")))
+        .select("a", "b")
+    )
+    return pairs
 
 
 def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (and cls, the digest of its set) for each row of docs.
+    """doc_id, n_shingles, component_id, th, first for each row of docs.
 
     Links follow from the sets of distinct shingles of SHINGLE words (lower case for A-Z). A text without words,
-    or null, has an empty set and links with nothing: its component is its own id. A null doc_id counts as the
-    least and stays null, also as a component_id. Repeated rows have equal sets and so one component.
+    or null, has an empty set and links with nothing: its component is its own id. Rows that share a doc_id are
+    one node with the links of all; so are rows with a null doc_id, which counts as the least and stays null,
+    also as a component_id. th is a hash of the text; first marks the row with the least (doc_id, th) of its
+    component, and rows with empty sets.
     """
     spark = docs.sparkSession
     small_batches(spark)
     plain = _plain(docs, id_col, text_col)
-    # 1: lists by the hash order alone, for the lists' lengths and the shingles on long ones
-    lengths = _listed(plain, None, 0).groupBy("sig").agg(F.count("*").alias("k"))
-    known = bitmaps(lengths, slot_of("sig"), HOT_BITS, sums={"all": F.col("k"), "squares": F.least("k", F.lit(HOT)) * F.col("k")}, hot=F.col("k") > HOT)
-    boundary = boundary_by_cost(known["squares"] / max(1, known["all"]))
-    hot = spark.sparkContext.broadcast(known["hot"])
-    # 2: signatures in the final order that more than one document has
+    # 1: shingles that many documents have, and how long lists are
+    late, mean_list = late_shingles(plain)
+    boundary = boundary_by_cost(mean_list)
+    hot = spark.sparkContext.broadcast(late)
+    # 2: signatures in the final order that more than one document has, and those that many have all the same
     counts = _listed(plain, hot, boundary).groupBy("sig").agg(F.count("*").alias("k"))
-    repeated = spark.sparkContext.broadcast(bitmaps(counts, slot_of("sig"), REPEATED_BITS, repeated=F.col("k") > 1)["repeated"])
-    # 3: documents, and the members of these lists; equal sets are one member
-    table = written(_tabled(plain, hot, repeated, boundary), "jaccard")
-    documents = table.where("list IS NULL AND subset IS NULL").select("doc_id", "th", "cls", "n")
-    lists = table.where("list IS NOT NULL OR subset IS NOT NULL").select(
-        F.coalesce("list", "subset").alias("sig"), "cls", "n", F.col("list").isNotNull().alias("on_list")
-    ).distinct()
-    lists = written(lists, "lists")
-    shared = lists.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
-    members = written(lists.join(shared, "sig", "left_semi"), "members")
-    used = members.select("cls").distinct()
-    whole = table.where("shingles IS NOT NULL").select("cls", "shingles")
-    sets = written(whole.join(used, "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+    found = bitmaps(counts, slot_of("sig"), REPEATED_BITS, repeated=F.col("k") > 1, long=F.col("k") > HOT)
+    repeated, long = (spark.sparkContext.broadcast(found[k]) for k in ("repeated", "long"))
+    # 3: documents, and the members of these lists; of equal sets one is a member
+    table = written(_tabled(plain, hot, repeated, long, boundary), "jaccard")
+    documents = table.where("cls IS NOT NULL").select("doc_id", "dk", "th", "cls", "n")
+    reps = documents.groupBy("cls").agg(F.min("dk").alias("rep"))
+    documents = written(documents.join(reps, "cls").select("doc_id", "dk", "th", "n", "rep"), "documents")
+    lists = table.where("cls IS NULL").select("sig", "kind", "place", "dk", "n", "frequent", "late")
+    members = written(lists.join(documents.where("dk = rep").select("dk").distinct(), "dk", "left_semi"), "members")
+    dropped(table)
     # 4: groups
-    links, groups, grouped = [], None, members.withColumn("comp", F.col("cls"))
+    groups, grouped = None, members.withColumn("comp", F.col("dk"))
     for turn in range(ROUNDS + 1):
         if turn:
-            comps = groups.select(F.col("node").alias("cls"), F.col("comp").alias("__comp"))
-            grouped = written(
-                members.join(comps, "cls", "left").withColumn("comp", F.coalesce("__comp", "cls")).drop("__comp"), "grouped"
-            )
-        new = written(_stars(grouped, sets, turn) if turn < ROUNDS else _rest(grouped, sets, boundary), "links")
-        links.append(new)
-        every = new if groups is None else new.union(groups.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-        groups = written(components(every), "groups")
-    labelled = documents.join(groups.select(F.col("node").alias("cls"), "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    labelled = written(labelled.withColumn("dk", order_id("doc_id")), "labelled")
-    least = labelled.groupBy("comp").agg(F.min(F.struct("dk", "th")).alias("first"))
+            comps = groups.select(F.col("node").alias("dk"), F.col("comp").alias("__comp"))
+            grouped = written(members.join(comps, "dk", "left").select(*members.columns, F.coalesce("__comp", "dk").alias("comp")), "grouped")
+        # later rounds are for long lists, which is where many pairs are left
+        long_ones = grouped.where(F.col("kind").bitwiseAND(F.lit(LATE)) > 0) if turn else grouped
+        pairs = written(_stars(long_ones, turn) if turn < ROUNDS else _rest(grouped, boundary), "pairs")
+        links = _verified(pairs, plain, documents)
+        groups = written(components(links if groups is None else links.union(groups.select("node", "comp"))), "groups")
+        dropped(pairs, *[grouped] * (turn > 0))
+    groups = groups.select(F.col("node").alias("rep"), "comp")
+    labelled = written(documents.join(groups, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "labelled")
+    least = labelled.where("n > 0").groupBy("comp").agg(F.min(F.struct("dk", "th")).alias("first"))
+    found = labelled.join(least, "comp", "left")
     own = F.when(F.col("n") == 0, F.col("dk")).otherwise(F.col("first.dk"))
     stands = (F.col("n") == 0) | (F.struct("dk", "th") == F.col("first"))
-    return labelled.join(least, "comp").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(own != NULL_ID, own).alias("component_id"), "cls", "th",
+    return found.select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(own != NULL_ID, own).alias("component_id"), "th",
         stands.alias("first"),
     )
 
