@@ -22,9 +22,11 @@ SECOND_SEED = "prosemill-line"
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """A row for each line with a word: a 128-bit hash, site, document and position."""
     line = F.col("line")
+    # sketches pass over empty strings, so a site's name gets a letter in front
+    site = F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("n"))
     return (
         docs.select(
-            order_id(id_col).alias("dk"), text_key(text_col).alias("th"), F.col(site_col).cast("string").alias("site"),
+            order_id(id_col).alias("dk"), text_key(text_col).alias("th"), site.alias("site"),
             F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("pos", "line"),
         )
         .where(line.rlike("[^ \\t-\\r]"))
@@ -34,11 +36,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFr
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR) -> DataFrame:
     """The hashes of lines on at least min_sites sites, each with its first occurrence."""
-    site = F.coalesce(F.col("site"), F.lit(""))
     spread = (
         lines.groupBy("h1", "h2")
         .agg(
-            F.hll_sketch_estimate(F.hll_sketch_agg(site, F.lit(LOG_BUCKETS))).alias("estimate"),
+            F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_BUCKETS))).alias("estimate"),
             F.min(F.struct("dk", "th", "pos")).alias("first"),
         )
         .where(F.col("estimate") >= min_sites * (1 - near))
@@ -46,7 +47,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR
     spread = written(spread, "line-spread")
     doubtful = spread.where(F.col("estimate") < min_sites * (1 + near)).select("h1", "h2")
     exact = (
-        lines.select("h1", "h2", site.alias("site"))
+        lines.select("h1", "h2", "site")
         .join(doubtful, ["h1", "h2"], "left_semi")
         .groupBy("h1", "h2")
         .agg(F.count_distinct("site").alias("sites"))
