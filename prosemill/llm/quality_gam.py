@@ -96,23 +96,33 @@ def _tree(g: np.ndarray, h: np.ndarray, smooth: float, depth: int = 2) -> np.nda
     return np.concatenate([_tree(g[:cut], h[:cut], smooth, depth - 1), _tree(g[cut:], h[cut:], smooth, depth - 1)])
 
 
+def _gains(g: np.ndarray, h: np.ndarray, smooth: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of bins the best cut in two (0: none) and its score, the parts' squares over their weights."""
+    left, weight = np.cumsum(g, 1), np.cumsum(h, 1)
+    score = left**2 / (weight + smooth) + (left[:, -1:] - left) ** 2 / (weight[:, -1:] - weight + smooth)
+    best = score.argmax(1)  # after the last bin: no cut
+    return (best + 1) % g.shape[1], np.take_along_axis(score, best[:, None], 1)[:, 0]
+
+
 def _pair_tree(g: np.ndarray, h: np.ndarray, smooth: float) -> tuple[np.ndarray, float]:
-    """A tree that cuts the one feature, then each side by the other; its values, and the gain."""
+    """The best tree that cuts the one feature, then each side by the other; its values, and the gain."""
+    whole = g.sum() ** 2 / (h.sum() + smooth)
     best = (np.full(g.shape, _leaf(g.sum(), h.sum(), smooth)), 0.0)
     for turn in (False, True):
         a, b = (g.T, h.T) if turn else (g, h)
-        cut, gain = _split(a.sum(1), b.sum(1), smooth)
-        cuts = [cut] if cut else [a.shape[0] // 2]
-        for k in cuts:
-            value, total = np.empty(a.shape), gain
-            for side in (slice(0, k), slice(k, None)):
-                inner, more = _split(a[side].sum(0), b[side].sum(0), smooth)
-                total += more
-                for part in (slice(0, inner), slice(inner, None)):
+        up_a, up_b = np.cumsum(a, 0)[:-1], np.cumsum(b, 0)[:-1]
+        if not len(up_a):
+            continue
+        (low, low_score), (high, high_score) = _gains(up_a, up_b, smooth), _gains(a.sum(0) - up_a, b.sum(0) - up_b, smooth)
+        k = int(np.argmax(low_score + high_score))
+        gain = float(low_score[k] + high_score[k] - whole)
+        if gain > best[1] + 1e-12:
+            value = np.empty(a.shape)
+            for side, cut in ((slice(0, k + 1), int(low[k])), (slice(k + 1, None), int(high[k]))):
+                for part in (slice(0, cut), slice(cut, None)):
                     if a[side, part].size:
                         value[side, part] = _leaf(a[side, part].sum(), b[side, part].sum(), smooth)
-            if total > best[1]:
-                best = (value.T if turn else value, total)
+            best = (value.T if turn else value, gain)
     return best
 
 
