@@ -1,12 +1,12 @@
 """Substring dedup: passages of WINDOW words or more that occur earlier in the corpus, by FM-indexes of shards.
 
-Each window of 20 words has an anchor, the run of 10 words in it with the least hash; equal windows have equal
+Each window of 20 words has an anchor, the run of 6 words in it with the least hash; equal windows have equal
 anchors. Neighbouring windows with the same anchor form a segment. Segments whose anchor occurs once can hold no
-repeated window. The others are dealt to shards by anchor (windows of very frequent anchors one by one, by
-their own hash), so that equal windows meet in one shard. Equal segments are first merged to their earliest
-place. A shard builds a compressed FM-index of its segments and streams them through it: backward search over
-the wavelet tree gives matching statistics, and matches of WINDOW words the rows of all equal windows, of which
-the earliest keeps its words.
+repeated window. The others are dealt to shards by anchor, so that equal windows meet in one shard. A shard
+builds a compressed FM-index of its distinct segments and streams them through it: backward search over the
+wavelet tree gives matching statistics, and matches of WINDOW words the rows of all equal windows, of which the
+earliest keeps its words. Segments of very frequent anchors are merged first, equal ones to their earliest place, by
+an aggregate with map-side parts; then they are cut into windows, which are merged likewise and dealt by hash.
 """
 
 from __future__ import annotations
@@ -16,21 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.llm.common import (
-    as_bytes, bitmaps, has_bit, order_id, slot_of, slots, small_batches, text_key, window_hashes, word_hashes, written,
+    as_bytes, bitmaps, dropped, has_bit, order_id, slot_of, slots, small_batches, text_key, window_hashes, word_hashes, written,
 )
 from prosemill.llm.fm_index import FMIndex, matches
 
-WINDOW, ANCHOR = 20, 10
+WINDOW, ANCHOR = 20, 6
 #: Bits of the filters: anchors that occur twice, anchors that occur more often than FREQUENT, marked documents.
 BITS = 27
 FREQUENT = 2000
-#: Segments of a shard.
-SHARD_SEGMENTS = 20_000
+#: Segments of a shard, equal ones included.
+SHARD_SEGMENTS = 50_000
 
 
 def segments(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,11 +49,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["anchor"])
 
 
-SEGMENTS = "key long, id binary, dk long, th long, start int, windows int, words binary"
+SEGMENTS = "key long, often boolean, dk long, th long, start int, windows int, words binary"
 
 
 def _segments(plain: DataFrame, repeated, frequent) -> DataFrame:
-    """SEGMENTS whose anchors are repeated. key: the anchor, or the window's hash if the anchor is frequent."""
+    """SEGMENTS whose anchors are repeated. key: the anchor; often: it is frequent."""
     names = [x.split()[0] for x in SEGMENTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,23 +62,19 @@ def _segments(plain: DataFrame, repeated, frequent) -> DataFrame:
             out: list[tuple] = []
             for dk, th, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
                 words = raw.split()
-                hashes = word_hashes(words)
-                first, n, anchors = segments(hashes)
-                place = slots(anchors, BITS)
+                first, n, anchors = segments(word_hashes(words))
+                place, keys = slots(anchors, BITS), anchors.view(np.int64)
                 some = np.flatnonzero(has_bit(twice, place))
                 if not len(some):
                     continue
-                alone = has_bit(often, place[some])
-                whole = window_hashes(hashes, WINDOW).view(np.int64) if alone.any() else None
-                for k, split in zip(some.tolist(), alone.tolist(), strict=True):
+                frequent_ones = has_bit(often, place[some]).tolist()
+                for k, many in zip(some.tolist(), frequent_ones, strict=True):
                     start, windows = int(first[k]), int(n[k])
-                    parts = [(start + i, 1, int(whole[start + i])) for i in range(windows)] if split else [(start, windows, int(anchors[k : k + 1].view(np.int64)[0]))]
-                    for s, w, key in parts:
-                        text = b" ".join(words[s : s + w + WINDOW - 1])
-                        out.append((key, xxhash.xxh3_128_digest(text), dk, th, s, w, text))
+                    text = b" ".join(words[start : start + windows + WINDOW - 1])
+                    out.append((int(keys[k]), many, dk, th, start, windows, text))
             for i in range(0, len(out), 20_000):
                 columns = zip(*out[i : i + 20_000], strict=True)
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return plain.select("dk", "th", "text").mapInArrow(run, SEGMENTS)
@@ -114,15 +109,70 @@ def repeats(texts: list[bytes], place: list[np.ndarray]) -> list[np.ndarray]:
     return [again[s : e - WINDOW + 1] for s, e in zip(starts, ends, strict=True)]
 
 
+MARKS = "dk long, th long, start int, windows int, mask binary"
+
+
 def _shard(table: pa.Table) -> pa.Table:
-    place = [table.column(c).to_numpy() for c in ("dk", "th", "start")]
-    found = repeats(table.column("words").to_pylist(), [p.astype(np.int64) for p in place])
-    masks = [np.packbits(x).tobytes() if x.any() else None for x in found]
-    return pa.table([*(table.column(c) for c in ("id", "key", "dk", "th", "start")), pa.array(masks, pa.binary())], names=["id", "key", "dk", "th", "start", "mask"])
+    """MARKS of a shard's segments that hold repeated windows. Equal segments are searched for once."""
+    words = table.column("words").to_pylist()
+    place = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("dk", "th", "start")])
+    order = np.lexsort(place[::-1])  # the earliest of equal segments comes first
+    first: dict[bytes, int] = {}
+    for k in order.tolist():
+        first.setdefault(words[k], k)
+    heads = list(first.values())
+    found = repeats(list(first), [p[heads] for p in place])
+    masks: list = [None] * len(words)
+    kept = np.ones(len(words), bool)
+    for k, again in zip(heads, found, strict=True):
+        kept[k] = again.any()
+        masks[k] = np.packbits(again).tobytes()
+    # a row equal in place to the first of its segment is that segment once more
+    same = np.flatnonzero((place == place[:, [first[w] for w in words]]).all(0))
+    for k in same.tolist():
+        masks[k], kept[k] = masks[first[words[k]]], kept[first[words[k]]]
+    columns = [table.column(c) for c in ("dk", "th", "start", "windows")]
+    return pa.table([*columns, pa.array(masks, pa.binary())], names=["dk", "th", "start", "windows", "mask"]).filter(pa.array(kept))
+
+
+def _sharded(found: DataFrame, rows: int) -> DataFrame:
+    shard = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-rows // SHARD_SEGMENTS)))).cast("int").alias("shard")
+    return found.select(shard, "dk", "th", "start", "windows", "words").groupBy("shard").applyInArrow(_shard, MARKS)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of segments, keyed by their own hash."""
+    names = ["key", "dk", "th", "start", "words"]
+    for batch in batches:
+        out: list[tuple] = []
+        for dk, th, start, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            words = raw.split(b" ")
+            keys = window_hashes(word_hashes(words), WINDOW).view(np.int64).tolist()
+            out += [(key, dk, th, start + i, b" ".join(words[i : i + WINDOW])) for i, key in enumerate(keys)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        columns = zip(*out, strict=True) if out else [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _merged(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct words of found with their earliest place; the rows of found that stand elsewhere."""
+    first = F.min(F.struct("dk", "th", "start", "windows")).alias("first")
+    distinct = written(found.groupBy("key", "words").agg(first), name)
+    own = F.struct("dk", "th", "start") == F.struct("first.dk", "first.th", "first.start")
+    later = found.join(distinct, ["key", "words"]).where(~own)
+    return distinct.select("key", "words", "first.*"), later.select("dk", "th", "start", "windows", F.lit(None).cast("binary").alias("mask"))
+
+
+def _frequent(found: DataFrame) -> DataFrame:
+    """MARKS of segments of which one may be in a great many documents."""
+    distinct, later = _merged(found, "frequent-segments")
+    cut = distinct.select("dk", "th", "start", "words").mapInArrow(_cut, "key long, dk long, th long, start int, words binary")
+    windows, again = _merged(written(cut.withColumn("windows", F.lit(1)), "cut"), "frequent-windows")
+    return later.union(again).union(_sharded(windows, windows.count()))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """dk, th, start, windows, mask: the windows of each document that begin earlier too. mask: null for all.
+    """dk, th, marks (start, windows, mask): the windows of each document that begin earlier too. mask: null for all.
 
     docs: dk, th, text. Documents are ordered by dk, then th.
     """
@@ -131,20 +181,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     known = bitmaps(counts, slot_of("anchor"), BITS, repeated=F.col("n") > 1, frequent=F.col("n") > FREQUENT)
     repeated, frequent = (spark.sparkContext.broadcast(known[k]) for k in ("repeated", "frequent"))
     found = written(_segments(docs, repeated, frequent), "segments")
-    shards = max(1, -(-found.count() // SHARD_SEGMENTS))
-    first = F.min(F.struct("dk", "th", "start", "windows", "words")).alias("first")
-    distinct = found.groupBy("key", "id").agg(first).select("key", "id", "first.*")
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
-    flags = distinct.withColumn("shard", shard).groupBy("shard").applyInArrow(
-        _shard, "id binary, key long, dk long, th long, start int, mask binary"
-    )
-    flags = written(flags.select("id", "key", F.struct("dk", "th", "start").alias("first"), "mask"), "flags")
-    own = F.struct("dk", "th", "start") == F.col("first")
-    return (
-        found.select("id", "key", "dk", "th", "start", "windows").join(flags, ["id", "key"])
-        .where(~own | F.col("mask").isNotNull())
-        .select("dk", "th", "start", "windows", F.when(own, F.col("mask")).alias("mask"))
-    )
+    n = {r["often"]: r["n"] for r in found.groupBy("often").agg(F.count("*").alias("n")).collect()}
+    marks = _sharded(found.where("NOT often"), n.get(False, 0))
+    if n.get(True):
+        marks = marks.union(_frequent(found.where("often")))
+    out = written(marks.groupBy("dk", "th").agg(F.collect_list(F.struct("start", "windows", "mask")).alias("marks")), "marks")
+    dropped(found)
+    return out
 
 
 def covered(n_words: int, marks: list[tuple[int, int, bytes | None]]) -> np.ndarray:
@@ -172,8 +215,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(id_col).cast("long").alias("doc_id"), order_id(id_col).alias("dk"), text_key(text_col).alias("th"),
         F.col(text_col).cast("string").alias("text"),
     )
-    windows = repeated_windows(plain.select("dk", "th", "text"))
-    marks = written(windows.groupBy("dk", "th").agg(F.collect_list(F.struct("start", "windows", "mask")).alias("marks")), "marks")
+    marks = repeated_windows(plain.select("dk", "th", "text"))
     place = F.xxhash64("dk", "th")
     marked = spark.sparkContext.broadcast(bitmaps(marks, slot_of(place), BITS - 3, marked=F.lit(True))["marked"])
 
