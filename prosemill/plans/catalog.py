@@ -301,7 +301,7 @@ light AS (SELECT *, CASE WHEN mattr IS NOT NULL THEN least(100, greatest(0, (mat
   CASE WHEN ns > 1 THEN least(100, greatest(0, (chain - 0.1) / (0.6 - 0.1) * 100)) END AS semantic,
   least(100, greatest(0, (ari - 5) / (16 - 5) * 100)) AS readability FROM measures),
 scored AS (SELECT *, round((coalesce(lexical * 0.35, 0) + syntactic * 0.25 + coalesce(semantic * 0.25, 0) + readability * 0.15)
-  / (CASE WHEN lexical IS NULL THEN 0 ELSE 0.35 END + 0.25 + CASE WHEN semantic IS NULL THEN 0 ELSE 0.25 END + 0.15), 4) AS style_index FROM light)"""
+  / (CASE WHEN lexical IS NULL THEN 0 ELSE 0.35 END + 0.25 + CASE WHEN semantic IS NULL THEN 0 ELSE 0.25 END + 0.15), 6) AS style_index FROM light)"""
 
 
 def light(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,7 +317,7 @@ def light(spark: SparkSession, sf_dir: str) -> DataFrame:
         "semantic": F.when(F.col("ns") > 1, T.scaled(F.col("chain"), 0.1, 0.6)), "readability": T.scaled(F.col("ari"), 5.0, 16.0),
     })
     index = compose.weighted_index({k: F.col(k) for k in POLICY.weights}, POLICY)
-    return scores.withColumn("style_index", F.round(index, 4))
+    return scores.withColumn("style_index", F.round(index, 6))
 
 
 @query(f"WITH {LIGHT} SELECT doc_id, style_index, semantic IS NULL AS partial FROM scored")
