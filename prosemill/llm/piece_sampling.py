@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,11 +35,13 @@ SAMPLES = 2
 #: How strongly frequent pieces are preferred: the exponent of a piece's rank. The more, the less varied.
 SHARPNESS = 1.0
 #: Texts go through the lattice in groups of so many characters, or alone if longer.
-GROUP_CHARS = 400_000
+GROUP_CHARS = 800_000
 #: A worker's cache of lattices is begun anew beyond so many edges.
-MOST_EDGES = 2_000_000
+MOST_EDGES = 8_000_000
 #: Steps of a segmentation whose alternatives the search weighs singly.
 STEPS = 64
+#: A choice of a log-probability above this leaves nothing aside.
+SURE = -1e-12
 MARK = "▁"
 
 
@@ -82,7 +85,8 @@ def load_pieces(path: str = MODEL, sharpness: float = SHARPNESS) -> Pieces:
 class Lattices:
     """Lattices of units of text, side by side in arrays. A unit's nodes are the places between its characters.
 
-    Edges are sorted by node, likely ones first; upto is the probability of an edge and those before it.
+    Edges are sorted by node, long ones first, as these are likely; upto is the probability of an edge and those
+    before it. The arrays have room to grow at their ends.
     """
 
     def __init__(self, pieces: Pieces):
@@ -107,8 +111,17 @@ class Lattices:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.nodes = self.edges = 0
-        self.upto, self.logp, self.dest, self.piece = np.empty(0), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.first_edge, self.end = np.zeros(1, np.int64), np.empty(0, np.int64)
+        self.upto, self.logp = np.empty(1 << 16), np.empty(1 << 16)
+        self.dest, self.piece = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
+        self.first_edge, self.end = np.zeros(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        room = getattr(self, name)
+        if at + len(values) > len(room):
+            more = np.empty(max(2 * len(room), at + len(values)), room.dtype)
+            more[:at] = room[:at]
+            setattr(self, name, room := more)
+        room[at : at + len(values)] = values
 
     def add(self, units: list[str]) -> None:
         """Lattices of new units (distinct, not empty)."""
@@ -136,8 +149,8 @@ class Lattices:
         code = chars[other]
         source.append(other), dest.append(other + 1)
         piece.append(np.where(code < 128, np.array(self.pieces.byte_ids)[np.minimum(code, 127)], -1 - code))
-        s, d, p = (np.concatenate(x) for x in (source, dest, piece))
-        order = np.lexsort((d, s))
+        s, d, p = (np.concatenate(x[::-1]) for x in (source, dest, piece))
+        order = np.argsort(s, kind="stable")  # long pieces first; each length is sorted already
         s, d, p = s[order], d[order], p[order]
         weight = self.pieces.weights[np.maximum(p, 0)]
         byte = p < 0
@@ -149,24 +162,22 @@ class Lattices:
         by_place = np.argsort(from_end, kind="stable")
         bounds = np.searchsorted(from_end[by_place], np.arange(1, sizes.max(initial=0) + 2))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            nodes = np.sort(by_place[a:b])
+            nodes = by_place[a:b]
             count = first[nodes + 1] - first[nodes]
             edge = np.repeat(first[nodes] - np.cumsum(count) + count, count) + np.arange(count.sum())
             value, starts = weight[edge] + beyond[d[edge]], np.cumsum(count) - count
             top = np.maximum.reduceat(value, starts)
             beyond[nodes] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, count)), starts))
         logp = weight + beyond[d] - beyond[s]
-        order = np.lexsort((-logp, s))
-        d, p, logp = d[order], p[order], logp[order]
         total = np.cumsum(np.exp(logp))
         before = np.where(first[s] > 0, total[first[s] - 1], 0.0)
         upto = total - before
         upto[first[1:][np.diff(first) > 0] - 1] = 1.0
         self.known.update(zip(units, (base + self.nodes).tolist(), strict=True))
-        self.upto = np.concatenate([self.upto, upto])
-        self.logp, self.dest, self.piece = np.concatenate([self.logp, logp]), np.concatenate([self.dest, d + self.nodes]), np.concatenate([self.piece, p])
-        self.first_edge = np.concatenate([self.first_edge, first[1:] + self.edges])
-        self.end = np.concatenate([self.end, end + self.nodes])
+        for name, values in (("upto", upto), ("logp", logp), ("dest", d + self.nodes), ("piece", p)):
+            self._put(name, self.edges, values)
+        self._put("first_edge", self.nodes + 1, first[1:] + self.edges)
+        self._put("end", self.nodes, end + self.nodes)
         self.nodes, self.edges = self.nodes + n, self.edges + len(s)
 
     def walk(self, node: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +195,8 @@ class Lattices:
                 e[more] = np.minimum(e[more] + 1, self.first_edge[now[more] + 1] - 1)
                 more = more[(u[more] >= self.upto[e[more]]) & (e[more] + 1 < self.first_edge[now[more] + 1])]
             lanes.append(lane), edges.append(e), steps.append(np.full(len(lane), step))
-            at = at + (self.dest[e] - now)
-            now = self.dest[e]
+            gone = self.dest[e].astype(np.int64)
+            at, now = at + (gone - now), gone
             go = now < self.end[now]
             lane, now, s, at, step = lane[go], now[go], s[go], at[go], step + 1
         if not lanes:
@@ -200,7 +211,7 @@ class Lattices:
     def ids(self, edges: np.ndarray) -> np.ndarray:
         found = self.piece[edges]
         if not (found < 0).any():
-            return found.astype(np.int32)
+            return found
         parts: list[int] = []
         for p in found.tolist():
             parts += [p] if p >= 0 else [self.pieces.byte_ids[b] for b in chr(-1 - p).encode("utf-8", "surrogatepass")]
@@ -223,56 +234,41 @@ def below(mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
         return mass - np.log(np.exp(mass - bound) - np.log(u))
 
 
+SALT = 0xD1B54A32D192ED03
+WORD = (1 << 64) - 1
+
+
+def _one(seed: int, place: int) -> float:
+    """uniform() of a single number."""
+    x = (seed + place * 0x9E3779B97F4A7C15) & WORD
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & WORD
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & WORD
+    return (((x ^ (x >> 31)) >> 12) + 0.5) / float(1 << 52)
+
+
+def _below(mass: float, bound: float, u: float) -> float:
+    return mass - math.log(math.exp(mass - bound) - math.log(u))
+
+
 class Search:
-    """The queue of one text. path: edges, the units they lie in, and log-probabilities before each and at the end."""
+    """The queue of one text. A path: edges, the units they lie in, and log-probabilities before each and at the end."""
 
     def __init__(self, lattices: Lattices, seed: int, k: int):
-        self.lattices, self.seed, self.k = lattices, seed, k
+        self.lattices, self.salt, self.k = lattices, seed ^ SALT, k
         self.queue: list[tuple] = []
         self.paths: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.found: list[tuple[int, float]] = []
+        self.found: list[float] = []
         self.draws = 0
 
-    def draw(self, n: int) -> np.ndarray:
-        self.draws += n
-        salt = np.uint64(self.seed) ^ np.uint64(0xD1B54A32D192ED03)
-        return uniform(np.full(n, salt), np.arange(self.draws - n, self.draws))
+    def draw(self) -> float:
+        self.draws += 1
+        return _one(self.salt, self.draws - 1)
 
     def put(self, path: int, step: int, gone: tuple[int, ...], value: float) -> None:
         """A set: what has path's edges before step and none of gone there; without gone, what leaves path later."""
-        if value > -np.inf:
+        if value > -math.inf:
             heapq.heappush(self.queue, (-value, len(self.queue), self.draws, path, step, gone))
 
-    def masses(self, path: int, since: int, until: int) -> np.ndarray:
-        """Log-masses of what leaves path at each of these steps."""
-        edges, _, before = self.paths[path]
-        with np.errstate(divide="ignore"):
-            mass = before[since:until] + np.log(-np.expm1(np.minimum(self.lattices.logp[edges[since:until]], 0.0)))
-        return np.where(before[since + 1 : until + 1] - before[since:until] > -1e-12, -np.inf, mass)
-
-    def put_best(self, path: int, since: int, values: np.ndarray, most: int) -> None:
-        best = np.argpartition(-values, most - 1)[:most] if 0 < most < len(values) else np.arange(len(values))
-        edges = self.paths[path][0]
-        for t in best.tolist():
-            self.put(path, since + t, (int(edges[since + t]),), float(values[t]))
-
-    def take(self, edges: np.ndarray, units: np.ndarray, since: int, value: float) -> None:
-        """A segmentation. What it leaves aside from step since on joins the queue, as far as it can be taken.
-
-        What it leaves aside after the first STEPS steps is one set for now; its mass is small as a rule.
-        """
-        before = np.concatenate([[0.0], np.cumsum(self.lattices.logp[edges])])
-        path = len(self.paths)
-        self.paths.append((edges, units, before))
-        self.found.append((path, value))
-        until = min(len(edges), since + STEPS)
-        if until > since:
-            values = below(self.masses(path, since, until), value, self.draw(until - since))
-            self.put_best(path, since, values, self.k + 1 - len(self.found))
-        if until < len(edges) and (rest := before[-1] - before[until]) < -1e-12:
-            mass = np.array([before[until] + np.log(-np.expm1(rest))])
-            self.put(path, until, (), float(below(mass, value, self.draw(1))[0]))
-
     def next(self) -> tuple[int, int, int, float] | None:
         """Of the best set: its path, the step at which it leaves it, the edge it takes there, its value."""
         if not self.queue:
@@ -280,87 +276,139 @@ class Search:
         value, _, _, path, step, gone = heapq.heappop(self.queue)
         edges, _, before = self.paths[path]
         if not gone:  # the step at which the best member leaves, by the masses; the others are sets of their own
-            mass, since = self.masses(path, step, len(edges)), step
+            logp = self.lattices.logp[edges[step:]]
+            with np.errstate(divide="ignore"):
+                mass = np.where(logp > SURE, -np.inf, before[step:-1] + np.log(-np.expm1(np.minimum(logp, 0.0))))
             share = np.cumsum(np.exp(mass - mass.max()))
-            k = int(min(np.searchsorted(share, self.draw(1)[0] * share[-1], side="right"), len(mass) - 1))
-            others = below(mass, -value, self.draw(len(mass)))
+            k = int(min(np.searchsorted(share, self.draw() * share[-1], side="right"), len(mass) - 1))
+            places = np.arange(self.draws, self.draws + len(mass))
+            self.draws += len(mass)
+            others = below(mass, -value, uniform(np.full(len(mass), self.salt, np.uint64), places))
             others[k] = -np.inf
-            self.put_best(path, since, others, self.k + 1 - len(self.found))
-            step, gone = since + k, (int(edges[since + k]),)
-        node = self._node(edges[step])
-        every = np.arange(int(self.lattices.first_edge[node]), int(self.lattices.first_edge[node + 1]))
-        left = every[~np.isin(every, gone)]
-        p = np.exp(self.lattices.logp[left])
-        u = self.draw(2)
-        chosen = int(left[min(np.searchsorted(np.cumsum(p), u[0] * p.sum(), side="right"), len(left) - 1)])
-        rest = p.sum() - np.exp(self.lattices.logp[chosen])
-        if len(left) > 1 and rest > 0:
-            self.put(path, step, (*gone, chosen), float(below(before[step] + np.log(np.array([rest])), -value, u[1:])[0]))
-        return path, step, chosen, -value
-
-    def _node(self, edge: int) -> int:
-        return int(np.searchsorted(self.lattices.first_edge, edge, side="right")) - 1
+            for t in np.argsort(-others)[: self.k + 1 - len(self.found)].tolist():
+                self.put(path, step + t, (int(edges[step + t]),), float(others[t]))
+            step, gone = step + k, (int(edges[step + k]),)
+        first = self.lattices.first_edge
+        node = int(np.searchsorted(first[: self.lattices.nodes + 1], edges[step], side="right")) - 1
+        a, b = int(first[node]), int(first[node + 1])
+        left = [e for e in range(a, b) if e not in gone]
+        p = [math.exp(x) for e, x in enumerate(self.lattices.logp[a:b].tolist(), a) if e not in gone]
+        at, total = self.draw() * sum(p), 0.0
+        chosen = len(left) - 1
+        for i, x in enumerate(p):
+            total += x
+            if at < total:
+                chosen = i
+                break
+        rest, u = sum(x for i, x in enumerate(p) if i != chosen), self.draw()
+        if rest > 0:
+            self.put(path, step, (*gone, left[chosen]), _below(float(before[step]) + math.log(rest), -value, u))
+        return path, step, left[chosen], -value
 
     @property
     def bound(self) -> float:
         return -self.queue[0][0] if self.queue else -np.inf
 
 
+def take(searches: list[Search], edges: np.ndarray, units: np.ndarray, cut: np.ndarray, since: np.ndarray, values: np.ndarray) -> None:
+    """A segmentation for each search, between its cuts of edges; all searches have found equally many so far.
+
+    What it leaves aside from step since on joins the search's queue, as far as it can be taken. What it leaves
+    aside after STEPS steps is one set for now; its mass is small as a rule.
+    """
+    lattices, most = searches[0].lattices, searches[0].k - len(searches[0].found)
+    logp = lattices.logp[edges]
+    sums = np.concatenate([[0.0], np.cumsum(logp)])
+    sizes = np.diff(cut)
+    until = np.minimum(sizes, since + STEPS)
+    column = np.arange(int((until - since).max(initial=0)))
+    at = np.minimum((cut[:-1] + since)[:, None] + column, max(0, len(edges) - 1))
+    inside = column < (until - since)[:, None]
+    salts = np.array([s.salt for s in searches], np.uint64)
+    draws = np.array([s.draws for s in searches])
+    start, end = sums[cut[:-1]], sums[cut[1:]]
+    if at.size:
+        own = logp[at]
+        with np.errstate(divide="ignore"):
+            mass = sums[at] - start[:, None] + np.log(-np.expm1(np.minimum(own, 0.0)))
+        mass[~inside | (own > SURE)] = -np.inf
+        found = below(mass, values[:, None], uniform(salts[:, None], draws[:, None] + column))
+        best = np.argpartition(-found, most - 1, 1)[:, :most] if most < found.shape[1] else np.broadcast_to(column, found.shape)
+        scores = np.take_along_axis(found, best, 1).tolist()
+        best = best.tolist()
+    rest = end - sums[cut[:-1] + until]
+    with np.errstate(divide="ignore"):
+        tail = np.where(rest < SURE, sums[cut[:-1] + until] - start + np.log(-np.expm1(np.minimum(rest, 0.0))), -np.inf)
+    tails = below(tail, values, uniform(salts, draws + len(column))).tolist()
+    for i, s in enumerate(searches):
+        a, b, path = int(cut[i]), int(cut[i + 1]), len(s.paths)
+        s.paths.append((edges[a:b], units[a:b], sums[a : b + 1] - sums[a]))
+        s.found.append(float(values[i]))
+        s.draws += len(column) + 1
+        if at.size:
+            for t, value in zip(best[i], scores[i], strict=True):
+                if value > -math.inf:
+                    step = int(since[i]) + t
+                    s.put(path, step, (int(edges[a + step]),), value)
+        s.put(path, int(until[i]), (), tails[i])
+
+
 def sample(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples: ids, log-probability, perturbed value and log inclusion probability."""
     units = [lattices.unit.findall(" " + t) if t else [] for t in texts]
-    if lattices.edges > MOST_EDGES:
+    if lattices.edges > MOST_EDGES:  # no path of an earlier group is still in use
         lattices.clear()
     flat = list(chain.from_iterable(units))
     first_nodes = list(map(lattices.known.get, flat))
     if None in first_nodes:
-        lattices.add(list(dict.fromkeys(u for u, x in zip(flat, first_nodes, strict=True) if x is None)))
-        first_nodes = list(map(lattices.known.__getitem__, flat))
+        unknown = [i for i, x in enumerate(first_nodes) if x is None]
+        lattices.add(list(dict.fromkeys(flat[i] for i in unknown)))
+        for i in unknown:
+            first_nodes[i] = lattices.known[flat[i]]
     nodes = np.array(first_nodes, np.int64)
-    sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-    starts = np.concatenate([[0], np.cumsum([len(us) for us in units])]).astype(np.int64)
-    place = np.cumsum(sizes) - sizes
-    for a, b in zip(starts[:-1], starts[1:], strict=True):
-        place[a:b] -= place[a] if b > a else 0
+    sizes = lattices.end[nodes] - nodes
+    counts = np.array([len(us) for us in units])
+    starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    gone = np.concatenate([[0], np.cumsum(sizes)])
+    place = gone[:-1] - np.repeat(gone[starts[:-1]], counts)
     searches = [Search(lattices, int(s), k) for s in seeds]
-    lane_seed = np.repeat(seeds, np.diff(starts))
-    lane, edge = lattices.walk(nodes, lane_seed, place)
+    lane, edge = lattices.walk(nodes, np.repeat(seeds, counts), place)
     cut = np.searchsorted(lane, starts)
-    for i, search in enumerate(searches):
-        value = -np.log(-np.log(search.draw(1)[0]))
-        search.take(edge[cut[i] : cut[i + 1]], lane[cut[i] : cut[i + 1]] - starts[i], 0, float(value))
+    values = np.array([-math.log(-math.log(s.draw())) for s in searches])
+    if searches:
+        take(searches, edge, lane - np.repeat(starts[:-1], np.diff(cut)), cut, np.zeros(len(searches), np.int64), values)
     for turn in range(1, k):
         wanted = [(i, x) for i, s in enumerate(searches) if (x := s.next())]
-        at, seed, where, spans, total = [], [], [], [], 0
-        for i, (path, step, chosen, _) in wanted:
-            unit = int(searches[i].paths[path][1][step])
-            own = np.arange(starts[i] + unit, starts[i + 1])
-            first = nodes[own].copy()
-            gone = int(lattices.dest[chosen]) - int(first[0])
-            first[0] = lattices.dest[chosen]
-            places = place[own].copy()
-            places[0] += gone
-            at.append(first), where.append(places)
-            seed.append(np.full(len(own), mixed(seeds[i : i + 1] + np.uint64(turn))[0]))
-            spans.append((total, total + len(own), unit))
-            total += len(own)
         if not wanted:
             break
-        lane, edge = lattices.walk(np.concatenate(at), np.concatenate(seed), np.concatenate(where))
-        for (i, (path, step, chosen, value)), (a, b, unit) in zip(wanted, spans, strict=True):
-            x, y = np.searchsorted(lane, [a, b])
-            edges, owners, _ = searches[i].paths[path]
-            searches[i].take(
-                np.concatenate([edges[:step], [chosen], edge[x:y]]),
-                np.concatenate([owners[:step], [unit], lane[x:y] - a + unit]), step + 1, value,
-            )
+        paths = [searches[i].paths[x[0]] for i, x in wanted]
+        unit = np.array([path[1][x[1]] for (_, x), path in zip(wanted, paths, strict=True)])
+        doc = np.array([i for i, _ in wanted])
+        chosen = np.array([x[2] for _, x in wanted])
+        count = starts[doc + 1] - starts[doc] - unit  # the units to walk through, from where the path is left
+        heads = np.cumsum(count) - count
+        own = np.arange(count.sum()) + np.repeat(starts[doc] + unit - heads, count)
+        first, where = nodes[own], place[own]
+        where[heads] += lattices.dest[chosen] - first[heads]
+        first[heads] = lattices.dest[chosen]
+        lane, edge = lattices.walk(first, np.repeat(mixed(seeds[doc] + np.uint64(turn)), count), where)
+        parts = np.searchsorted(lane, np.append(heads, len(own)))
+        lane = lane - np.repeat(heads - unit, np.diff(parts))
+        edges, units_, since = [], [], []
+        for j, ((_, (_, step, e, _)), (old, old_units, _)) in enumerate(zip(wanted, paths, strict=True)):
+            edges += [old[:step], chosen[j : j + 1], edge[parts[j] : parts[j + 1]]]
+            units_ += [old_units[:step], unit[j : j + 1], lane[parts[j] : parts[j + 1]]]
+            since.append(step + 1)
+        sizes = np.array([len(x) for x in edges]).reshape(-1, 3).sum(1)
+        take([searches[i] for i, _ in wanted], np.concatenate(edges), np.concatenate(units_), np.concatenate([[0], np.cumsum(sizes)]), np.array(since), np.array([x[3] for _, x in wanted]))
     out = []
     for search in searches:
         bound, rows = search.bound, []
-        for path, value in search.found:
-            edges, _, before = search.paths[path]
-            with np.errstate(over="ignore", divide="ignore"):
-                inclusion = float(np.log(-np.expm1(-np.exp(before[-1] - bound)))) if bound > -np.inf else 0.0
+        for (edges, _, before), value in zip(search.paths, search.found, strict=True):
+            inclusion = 0.0
+            if bound > -math.inf:
+                x = -math.exp(min(700.0, float(before[-1]) - bound))
+                inclusion = math.log(-math.expm1(x)) if x < 0 else -math.inf
             rows.append((lattices.ids(edges), float(before[-1]), value, inclusion))
         out.append(rows)
     return out
@@ -371,6 +419,23 @@ def decode(table: list[bytes], ids: list[int]) -> bytes:
     return b"".join(map(table.__getitem__, ids))[1:]
 
 
+class Decoder:
+    """decode() for the pieces of many texts at once."""
+
+    def __init__(self, table: list[bytes]):
+        self.sizes = np.array([len(x) for x in table])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(table), np.uint8)
+
+    def decode(self, pieces: list[np.ndarray]) -> list[bytes]:
+        ids = np.concatenate(pieces)
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        flat = self.bytes[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in pieces])])].tolist()
+        return [flat[a + 1 : b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 SCHEMA = (
     "doc_id long, sample int, n_pieces long, ids_sha256 string, log_prob double, perturbed double, log_inclusion double, "
     "round_trip boolean, ids array<int>"
@@ -390,11 +455,12 @@ def sample_encodings(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(load_pieces(model, sharpness))
+    shared = spark.sparkContext.broadcast(tuple(vars(load_pieces(model, sharpness)).values()))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices, table = Lattices(shared.value), shared.value.table
+        pieces = Pieces(*shared.value)
+        lattices, decoder = Lattices(pieces), Decoder(pieces.table)
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
@@ -404,16 +470,18 @@ def sample_encodings(
                 b, chars = a + 1, len(texts[a])
                 while b < len(texts) and chars + len(texts[b]) <= GROUP_CHARS:
                     chars, b = chars + len(texts[b]), b + 1
-                rows, pieces = [], []
-                for i, found in enumerate(sample(lattices, texts[a:b], seeds[a:b], samples), a):
+                found = sample(lattices, texts[a:b], seeds[a:b], samples)
+                cut = [x for rows in found for x, *_ in rows]
+                decoded = iter(decoder.decode(cut))
+                rows = []
+                for i, samples_ in enumerate(found, a):
                     raw = texts[i].encode("utf-8", "surrogatepass")
-                    for r, (x, lp, g, q) in enumerate(found, 1):
-                        rows.append((ids[i], r, len(x), hashlib.sha256(x.tobytes()).hexdigest(), lp, g, q, decode(table, x.tolist()) == raw))
-                        pieces.append(x)
+                    for r, (x, lp, g, q) in enumerate(samples_, 1):
+                        rows.append((ids[i], r, len(x), hashlib.sha256(x.tobytes()).hexdigest(), lp, g, q, next(decoded) == raw))
                 arrays = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 if with_ids:
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int32)
-                    arrays.append(pa.ListArray.from_arrays(offsets, np.concatenate(pieces)))
+                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(offsets, np.concatenate(cut)))
                 else:
                     arrays.append(pa.nulls(len(rows), pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names)
