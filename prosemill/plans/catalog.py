@@ -387,12 +387,12 @@ def length_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.length_share(light(spark, sf_dir), "msl", "mwl", POLICY).select(F.round("r2", 6).alias("r2"))
 
 
-@query(f"""WITH {LIGHT} SELECT quality, count(*) AS n, round(avg(mattr), 6) AS mattr, round(avg(style_index), 6) AS style_index
+@query(f"""WITH {LIGHT} SELECT quality, count(*) AS n, round(avg(mattr), 4) AS mattr, round(avg(style_index), 4) AS style_index
   FROM scored JOIN labels USING (doc_id) GROUP BY quality""")
 def metric_vs_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = light(spark, sf_dir).join(tables(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     found = corpus.group_means(rows, "quality", ["mattr", "style_index"])
-    return found.select("quality", "n", F.round("mattr", 6).alias("mattr"), F.round("style_index", 6).alias("style_index"))
+    return found.select("quality", "n", F.round("mattr", 4).alias("mattr"), F.round("style_index", 4).alias("style_index"))
 
 
 @query("SELECT doc_id, len(list_filter([" + ", ".join(f"regexp_matches(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), '(?i){p}')" for p in sanitize.PHRASES.values()) + "], lambda x: x)) AS n_phrases FROM documents")
