@@ -10,7 +10,7 @@ All of it is column expressions and aggregates.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -51,7 +51,8 @@ def _values(text: Column, words: dict[str, list[str]]) -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class Mixer:
-    """domains in order; words: what speaks for a domain; prior, logs: the classifier; history: the fitted steps."""
+    """domains in order; words: what speaks for a domain; prior, logs: the classifier; history: the fitted steps;
+    labelled: whether the classifier had rows to learn from."""
 
     domains: tuple[str, ...]
     words: dict[str, list[str]]
@@ -59,6 +60,7 @@ class Mixer:
     logs: tuple = ()
     history: tuple[tuple[float, ...], ...] = ()
     most_rate: float = 1.0
+    labelled: bool = False
 
     @property
     def limits(self) -> dict[str, tuple[float, ...]]:
@@ -135,14 +137,19 @@ def telling_words(labelled: DataFrame, most: int = MOST_WORDS) -> dict[str, list
 
 
 def fit_posterior(labelled: DataFrame, domains: list[str]) -> Mixer:
-    """Naive Bayes over the binned features. labelled: domain, text. Without rows all domains are alike."""
+    """Naive Bayes over the binned features. labelled: domain, text.
+
+    Without rows all domains are alike. With some, a domain that has none gets no share of any text: smoothing
+    alone would give it texts that are merely rare.
+    """
     mixer = Mixer(tuple(domains), {d: w for d, w in telling_words(labelled).items() if d in domains})
     profiled = labelled.select("domain", mixer.profile(F.col("text")).alias("profile")).groupBy("domain", "profile").count()
     rows = profiled.select("domain", "count", F.posexplode(mixer.bins(F.col("profile"))).alias("feature", "bin"))
     rows = rows.groupBy("domain", "feature", "bin").agg(F.sum("count").alias("n"))
     counts = {(r["domain"], r["feature"], r["bin"]): r["n"] for r in rows.collect()}
     sizes = {d: sum(n for (e, f, _), n in counts.items() if (e, f) == (d, 0)) for d in domains}
-    prior = tuple(math.log((sizes[d] + 1) / (sum(sizes.values()) + len(domains))) for d in domains)
+    n = sum(sizes.values())
+    prior = tuple(math.log((sizes[d] + 1) / (n + len(domains))) if sizes[d] or not n else -math.inf for d in domains)
     logs = tuple(
         tuple(
             tuple(math.log((counts.get((d, j, k), 0) + 0.5) / (sizes[d] + 0.5 * (len(x) + 1))) for k in range(len(x) + 1))
@@ -150,17 +157,18 @@ def fit_posterior(labelled: DataFrame, domains: list[str]) -> Mixer:
         )
         for d in domains
     )
-    return Mixer(mixer.domains, mixer.words, prior, logs)
+    return replace(mixer, prior=prior, logs=logs, labelled=n > 0)
 
 
 def fit_rates(profiles: DataFrame, mixer: Mixer, weights: list[float], total: float | None, most_rate: float) -> Mixer:
     """mixer with the steps of the projected gradient. profiles: p (posteriors), tokens.
 
     Minimises the sum over domains of the squared relative miss of their expected tokens, over rates in
-    [0, most_rate], from rate 1. A step is one aggregate of a sum for each domain.
+    [0, most_rate], from rate 1. A step is one aggregate of a sum for each domain. The domain of the largest
+    weight sets the total; the share of one that hasn't as much is only an upper bound, and all it has its target.
     """
     k = len(weights)
-    mixer = Mixer(mixer.domains, mixer.words, mixer.prior, mixer.logs, (), most_rate)
+    mixer = replace(mixer, history=(), most_rate=most_rate)
 
     def sums(m: Mixer) -> list[float]:
         rated = profiles.select("p", (m.rate(F.col("p")) * F.col("tokens")).alias("t"))
@@ -169,13 +177,14 @@ def fit_rates(profiles: DataFrame, mixer: Mixer, weights: list[float], total: fl
 
     got = sums(mixer)
     mass = [x / min(1.0, most_rate) for x in got]
-    if total is None:  # the largest total that no domain falls short of
-        total = min((most_rate * m / w for m, w in zip(mass, weights, strict=True) if w > 0 and m > 0), default=0.0)
+    if total is None:  # all of the domain with the largest weight; of equal ones, of that with the most tokens
+        total = max((most_rate * m / w for m, w in zip(mass, weights, strict=True) if w == max(weights)), default=0.0)
+    targets = [min(total * w, most_rate * m) for m, w in zip(mass, weights, strict=True)]
     for _ in range(STEPS):
-        step = tuple((g - total * w) / m if m > 0 else 0.0 for g, w, m in zip(got, weights, mass, strict=True))
+        step = tuple((g - t) / m if m > 0 else 0.0 for g, t, m in zip(got, targets, mass, strict=True))
         if max(map(abs, step)) < CLOSE:
             break
-        mixer = Mixer(mixer.domains, mixer.words, mixer.prior, mixer.logs, (*mixer.history, step), most_rate)
+        mixer = replace(mixer, history=(*mixer.history, step))
         got = sums(mixer)
     return mixer
 
@@ -212,8 +221,10 @@ def fit_mixture(
     """The mixture whose rates bring the expected tokens of each domain in docs to its share of weights.
 
     A token is a piece between spaces. weights: target share of each domain; they are made to sum to 1. total:
-    expected tokens of the mixture; by default as many as the domains allow without a rate over most_rate.
-    Labelled rows with null or unknown domain or null id don't count; without any, domains are alike. A null
+    expected tokens of the mixture; by default as many as the domain of the largest weight allows without a rate
+    over most_rate. Domains that are scarcer than their share are taken whole, up to most_rate, and never lower the
+    rates of others. Labelled rows with null or unknown domain or null id don't count; without one of a domain of
+    the largest weight nothing tells what to keep, and all rates are 1 (or most_rate, if that is less). A null
     text is empty (one empty token); a null id stays null. Repeated rows get the same decision.
     """
     domains = sorted(weights)
@@ -236,7 +247,10 @@ def fit_mixture(
     )
     bins = documents.groupBy("profile").agg(F.sum("n_tokens").alias("tokens")).withColumn("bins", mixer.bins(F.col("profile")))
     rows = written(bins.select("profile", mixer.posterior(F.col("bins")).alias("p"), "tokens").coalesce(1), "mixing-profiles")
-    mixer = fit_rates(rows, mixer, share, total, most_rate)
+    if any(w == max(share) and x > -math.inf for w, x in zip(share, mixer.prior, strict=True)) and mixer.labelled:
+        mixer = fit_rates(rows, mixer, share, total, most_rate)
+    else:
+        mixer = replace(mixer, most_rate=most_rate)
     return Mixture(mixer, documents, written(rows.select("profile", "p", mixer.rate(F.col("p")).alias("rate")), "mixing-rates"))
 
 

@@ -96,6 +96,25 @@ def test_mixture_of_the_tables(spark, sf_dir):
     assert good.copies.mean() > 0.95
 
 
+def test_scarce_domains_leave_the_kept_one_whole(spark):
+    for toxic in (0.0, 1e-9, 5.0):  # tokens of a thousand; 25 are wanted
+        rows = [([1.0, 0.0, 0.0], 950.0), ([0.0, 1.0, 0.0], 45.0), ([0.0, 0.0, 1.0], toxic)]
+        frame = spark.createDataFrame(rows, "p array<double>, tokens double")
+        mixer = mixing.fit_rates(frame, mixing.Mixer(("good", "poor", "toxic"), {}), [0.96, 0.015, 0.025], None, 1.0)
+        good, poor, last = (r[0] for r in frame.select(mixer.rate(F.col("p"))).collect())
+        assert good == pytest.approx(1, abs=1e-9) and last == pytest.approx(1, abs=1e-9)
+        assert poor * 45 == pytest.approx(0.015 * 950 / 0.96, rel=0.01)
+
+
+def test_mixture_without_labels_keeps_all(spark):
+    docs = spark.createDataFrame([(i, f"word number {i % 7} of the text " * 9) for i in range(60)], "doc_id long, text string")
+    schema = "doc_id long, quality int, toxic int"
+    for rows in ([], [(i, 1, 0) for i in range(20)], [(i, 0, 0) for i in range(20)], [(i, 0, 1) for i in range(20)]):
+        labels = mixing.labelled_domains(spark.createDataFrame(rows, schema))
+        mix = mixing.fit_mixture(docs, labels, mixing.WEIGHTS)
+        assert {r["rate"] for r in mix.table().collect()} == {1.0} and mix.apply(docs).count() == 60
+
+
 def test_mixture_takes_odd_documents(spark):
     docs = spark.createDataFrame(edge.rows(), edge.SCHEMA)
     labels = spark.createDataFrame([(i, 1 - (i % 5 == 0), int(i % 7 == 0)) for i in range(97)] + [(None, 1, None)], "doc_id long, quality int, toxic int")
