@@ -3,16 +3,20 @@
 A classifier fitted on a labelled table gives each document a posterior over domains. Document rates from 0
 to a limit are then fitted by projected-gradient least squares, so that the expected tokens of each domain
 match the target weights. Documents with the same features have the same posterior, and so the same rate at
-every step: a step is one aggregate over feature profiles, whose number the bins bound, whatever the data.
-All of it is column expressions and aggregates.
+every step: the steps need only the tokens of each feature profile, whose number the bins bound, whatever the data.
+These come from one aggregate; the driver works the steps out, thousands where posteriors overlap. Features,
+posteriors and rates of documents are column expressions.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import warnings
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +33,8 @@ LIMITS = {
 }
 #: Bin limits of the occurrences of a domain's words, a character.
 TOLD = (1e-9, 5e-4, 2e-3)
-STEPS, CLOSE = 40, 2e-3
+#: The steps end when none moves a rate by CLOSE, which is where the least squares no longer improve, or after STEPS.
+STEPS, CLOSE = 20_000, 1e-10
 
 
 def _left(text: Column, parts: str) -> Column:
@@ -52,7 +57,7 @@ def _values(text: Column, words: dict[str, list[str]]) -> dict[str, Column]:
 @dataclass(frozen=True)
 class Mixer:
     """domains in order; words: what speaks for a domain; prior, logs: the classifier; history: the fitted steps;
-    labelled: whether the classifier had rows to learn from."""
+    labelled: whether the classifier had rows to learn from; residuals: what fit_rates missed by, for each domain."""
 
     domains: tuple[str, ...]
     words: dict[str, list[str]]
@@ -61,6 +66,7 @@ class Mixer:
     history: tuple[tuple[float, ...], ...] = ()
     most_rate: float = 1.0
     labelled: bool = False
+    residuals: tuple[float, ...] = ()
 
     @property
     def limits(self) -> dict[str, tuple[float, ...]]:
@@ -98,7 +104,7 @@ class Mixer:
         """The rate after all steps: each moves it against the domains' residuals, back into [0, most_rate]."""
         if not self.history:
             return F.least(F.lit(1.0), F.lit(float(self.most_rate)))
-        steps = F.array(*[F.array(*map(F.lit, s)) for s in self.history])
+        steps = F.from_json(F.lit(json.dumps(self.history)), "array<array<double>>")
 
         def moved(r: Column, step: Column) -> Column:
             pull = reduce(Column.__add__, [p[i] * step[i] for i in range(len(self.domains))])
@@ -163,30 +169,34 @@ def fit_posterior(labelled: DataFrame, domains: list[str]) -> Mixer:
 def fit_rates(profiles: DataFrame, mixer: Mixer, weights: list[float], total: float | None, most_rate: float) -> Mixer:
     """mixer with the steps of the projected gradient. profiles: p (posteriors), tokens.
 
-    Minimises the sum over domains of the squared relative miss of their expected tokens, over rates in
-    [0, most_rate], from rate 1. A step is one aggregate of a sum for each domain. The domain of the largest
-    weight sets the total; the share of one that hasn't as much is only an upper bound, and all it has its target.
+    Minimises the sum over domains of the squared miss of their expected tokens, each over its tokens at rate 1, over
+    rates in [0, most_rate], from rate 1. The domain of the largest weight sets the total; the share of one that
+    hasn't as much is only an upper bound, and all it has its target. residuals: expected tokens over the share of the
+    total, less 1 (of a domain with weight 0, over the total).
     """
-    k = len(weights)
-    mixer = replace(mixer, history=(), most_rate=most_rate)
-
-    def sums(m: Mixer) -> list[float]:
-        rated = profiles.select("p", (m.rate(F.col("p")) * F.col("tokens")).alias("t"))
-        row = rated.agg(*[F.sum(F.col("p")[i] * F.col("t")).alias(f"d{i}") for i in range(k)]).first()
-        return [x or 0.0 for x in row]
-
-    got = sums(mixer)
-    mass = [x / min(1.0, most_rate) for x in got]
+    rows = sorted((tuple(r["p"]), float(r["tokens"])) for r in profiles.select("p", "tokens").collect())
+    p, tokens = np.array([r[0] for r in rows]).reshape(-1, len(weights)), np.array([r[1] for r in rows])
+    mass, share = tokens @ p, np.array(weights)
     if total is None:  # all of the domain with the largest weight; of equal ones, of that with the most tokens
-        total = max((most_rate * m / w for m, w in zip(mass, weights, strict=True) if w == max(weights)), default=0.0)
-    targets = [min(total * w, most_rate * m) for m, w in zip(mass, weights, strict=True)]
-    for _ in range(STEPS):
-        step = tuple((g - t) / m if m > 0 else 0.0 for g, t, m in zip(got, targets, mass, strict=True))
-        if max(map(abs, step)) < CLOSE:
+        total = max((most_rate * m / w for m, w in zip(mass.tolist(), weights, strict=True) if w == max(weights)), default=0.0)
+    targets = np.minimum(total * share, most_rate * mass)
+    rate, history = np.full(len(tokens), min(1.0, float(most_rate))), []
+    while True:
+        got = (rate * tokens) @ p
+        step = np.divide(got - targets, mass, out=np.zeros_like(mass), where=mass > 0)
+        moved = np.clip(rate - p @ step, 0.0, most_rate)
+        change = np.abs(moved - rate).max(initial=0.0)
+        if change < CLOSE:
+            break
+        if len(history) == STEPS:
+            warnings.warn(f"rates still move by {change:.1e} after {STEPS} steps", stacklevel=2)
             break
-        mixer = replace(mixer, history=(*mixer.history, step))
-        got = sums(mixer)
-    return mixer
+        history.append(tuple(step.tolist()))
+        rate = moved
+    missed = got - total * share
+    over = np.where(share > 0, total * share, total)
+    residuals = np.divide(missed, over, out=np.zeros_like(missed), where=over > 0)
+    return replace(mixer, history=tuple(history), most_rate=most_rate, residuals=tuple(residuals.tolist()))
 
 
 @dataclass(frozen=True)
@@ -197,6 +207,11 @@ class Mixture:
     documents: DataFrame
     rates: DataFrame
 
+    @property
+    def residuals(self) -> dict[str, float]:
+        """For each domain, its expected tokens over those wanted, less 1. Empty if nothing was fitted."""
+        return dict(zip(self.mixer.domains, self.mixer.residuals, strict=False))
+
     def table(self) -> DataFrame:
         """doc_id, n_tokens, p_<domain>, rate, copies for each document."""
         rows = self.documents.join(F.broadcast(self.rates), "profile")

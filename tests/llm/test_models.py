@@ -106,6 +106,29 @@ def test_scarce_domains_leave_the_kept_one_whole(spark):
         assert poor * 45 == pytest.approx(0.015 * 950 / 0.96, rel=0.01)
 
 
+def test_steps_go_on_until_the_least_squares_are_met(spark):
+    p = np.array([[0.98, 0.012, 0.008], [0.6, 0.3, 0.1], [0.5, 0.2, 0.3], [0.4, 0.35, 0.25], [0.3, 0.35, 0.35]])
+    tokens, share = np.array([900.0, 300.0, 300.0, 200.0, 200.0]), [0.96, 0.025, 0.015]
+    frame = spark.createDataFrame([(x.tolist(), float(t)) for x, t in zip(p, tokens, strict=True)], "p array<double>, tokens double")
+    mixer = mixing.Mixer(("good", "poor", "toxic"), {})
+
+    def fitted(total):
+        found = mixing.fit_rates(frame, mixer, share, total, 1.0)
+        rate = {tuple(r[0]): r[1] for r in frame.select("p", found.rate(F.col("p"))).collect()}
+        return found, np.array([rate[tuple(x)] for x in p.tolist()])
+
+    for total in (700.0, None):  # within reach; out of reach, as every text is partly unwanted
+        found, rate = fitted(total)
+        mass = tokens @ p
+        all_of = total or mass[0] / 0.96
+        got, targets = (rate * tokens) @ p, np.minimum(all_of * np.array(share), mass)
+        assert found.residuals == pytest.approx(got / (all_of * np.array(share)) - 1, abs=1e-9)
+        pull = p @ ((got - targets) / mass)  # at the least squares, only bounds hold rates back
+        assert np.abs(np.clip(rate - pull, 0, 1) - rate).max() < 1e-8
+    _, rate = fitted(700.0)
+    assert (rate * tokens) @ p / 700 == pytest.approx(share, rel=1e-6)
+
+
 def test_mixture_without_labels_keeps_all(spark):
     docs = spark.createDataFrame([(i, f"word number {i % 7} of the text " * 9) for i in range(60)], "doc_id long, text string")
     schema = "doc_id long, quality int, toxic int"
