@@ -2,11 +2,13 @@
 
 A text is rejected when its zstandard ratio (compressed over plain bytes) leaves the band for its length:
 under the lower limit it repeats itself, over the upper one it is noise. The ratio is taken over the whole
-text and over fixed chunks, so that a repetitive stretch in a long text counts as well.
+text and over fixed chunks, so that a repetitive stretch in a long text counts as well. A shorter last chunk is
+judged by the band for its own length; one too short for any band belongs to the chunk before. Chunks count by bytes.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,9 +43,7 @@ class Bands:
         (4096, 0.25, 0.75),
     )
     chunk_bytes: int = 2048
-    #: A last chunk under this size is left to the whole text's ratio.
-    least_chunk: int = 1024
-    #: A text goes when more than this share of its chunks leave their band.
+    #: A text goes when chunks with more than this share of its bytes leave their band.
     bad_share: float = 0.25
     level: int = 3
 
@@ -54,6 +54,13 @@ class Bands:
                 found = (low, high)
         return found
 
+    def chunks(self, raw: bytes) -> list[bytes]:
+        """raw cut every chunk_bytes; what is left over under the least bytes of a band stays with the chunk before."""
+        cuts = list(range(0, len(raw), self.chunk_bytes))
+        if len(cuts) > 1 and self.limits and len(raw) - cuts[-1] < self.limits[0][0]:
+            cuts.pop()
+        return [raw[a:b] for a, b in itertools.pairwise([*cuts, len(raw)])]
+
 
 def repeated_words(words: list[bytes]) -> int:
     """Words in 3-word windows that the text has twice or more."""
@@ -82,15 +89,13 @@ def judged(raw: bytes, n_chars: int, bands: Bands, press: zstandard.ZstdCompress
     ratio = len(press.compress(raw)) / len(raw) if raw else 0.0
     low, high = bands.of(len(raw))
     good = low <= ratio <= high
-    chunks = lows = highs = 0
-    for at in range(0, len(raw), bands.chunk_bytes):
-        chunk = raw[at : at + bands.chunk_bytes]
-        if len(chunk) < bands.least_chunk:
-            break
+    chunks = lows = highs = bad = 0
+    for chunk in bands.chunks(raw):
         low, high = bands.of(len(chunk))
         r = len(press.compress(chunk)) / len(chunk)
         chunks, lows, highs = chunks + 1, lows + (r < low), highs + (r > high)
-    good = good and lows + highs <= bands.bad_share * chunks
+        bad += 0 if low <= r <= high else len(chunk)
+    good = good and bad <= bands.bad_share * len(raw)
     spaces = len(raw) - len(raw.translate(None, SPACES))
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     return (

@@ -73,6 +73,32 @@ def test_bands_reject_noise_and_repetition(spark):
     assert [r["doc_id"] for r in quality_rules.keep_by_rules(df).collect()] == [3]
 
 
+def test_tails_are_judged(spark):
+    import random
+
+    rng = random.Random(4)
+    prose = " ".join("".join(rng.choice("aeioustnrlmdhc") for _ in range(rng.randrange(2, 9))) for _ in range(2000))
+    phrase = "nothing new is said by these words " * 100
+    texts = [
+        prose[:2048] + phrase[:1000],  # a third repeats itself
+        prose[:2048] + prose[5000:6000],
+        prose[:6144] + phrase[:1000],  # a seventh does
+        prose[:2048] + phrase[:100],  # too short for a band of its own
+        prose[:1000],
+        prose[:100],
+        "",
+    ]
+    found = by_id(quality_rules.compression_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [(found[i]["n_chunks"], found[i]["low_chunks"], found[i]["high_chunks"]) for i in range(7)] == [
+        (2, 1, 0), (2, 0, 0), (4, 1, 0), (1, 0, 0), (1, 0, 0), (1, 0, 0), (0, 0, 0),
+    ]
+    assert found[0]["ratio"] > 0.28 and not found[0]["base_failed"]  # only the tail speaks against it
+    assert [found[i]["kept"] for i in range(5)] == [False, True, True, True, True]
+    bands = quality_rules.Bands()
+    for n in (0, 1, 127, 128, 2047, 2048, 2049, 2175, 2176, 4096, 4195, 5000):
+        assert b"".join(bands.chunks(prose[:n].encode())) == prose[:n].encode()
+
+
 def test_kept_rows_keep_their_columns(docs, empty):
     kept = quality_rules.keep_by_rules(docs)
     assert kept.schema == docs.schema
