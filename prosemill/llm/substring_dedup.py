@@ -5,8 +5,10 @@ anchors. Neighbouring windows with the same anchor form a segment. Segments whos
 repeated window. The others are dealt to shards by anchor, so that equal windows meet in one shard. A shard
 builds a compressed FM-index of its distinct segments and streams them through it: backward search over the
 wavelet tree gives matching statistics, and matches of WINDOW words the rows of all equal windows, of which the
-earliest keeps its words. Segments of very frequent anchors are merged first, equal ones to their earliest place, by
-an aggregate with map-side parts; then they are cut into windows, which are merged likewise and dealt by hash.
+earliest keeps its words. Segments of very frequent anchors have no index: an index needs all of an anchor's segments
+in one shard, which a passage in a great many documents would overfill. They are merged, equal ones to their earliest
+place, by an aggregate with map-side parts; then they are cut into windows, which are merged likewise. As windows are
+equal or not, these two aggregates alone tell which of them begin earlier.
 """
 
 from __future__ import annotations
@@ -155,7 +157,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """The distinct words of found with their earliest place; the rows of found that stand elsewhere."""
+    """The distinct words of found with their earliest place; MARKS of the rows of found that stand elsewhere."""
     first = F.min(F.struct("dk", "th", "start", "windows")).alias("first")
     distinct = written(found.groupBy("key", "words").agg(first), name)
     own = F.struct("dk", "th", "start") == F.struct("first.dk", "first.th", "first.start")
@@ -164,11 +166,11 @@ def _merged(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _frequent(found: DataFrame) -> DataFrame:
-    """MARKS of segments of which one may be in a great many documents."""
+    """MARKS of segments of which one may be in a great many documents, by aggregates only."""
     distinct, later = _merged(found, "frequent-segments")
     cut = distinct.select("dk", "th", "start", "words").mapInArrow(_cut, "key long, dk long, th long, start int, words binary")
-    windows, again = _merged(written(cut.withColumn("windows", F.lit(1)), "cut"), "frequent-windows")
-    return later.union(again).union(_sharded(windows, windows.count()))
+    _, again = _merged(written(cut.withColumn("windows", F.lit(1)), "cut"), "frequent-windows")
+    return later.union(again)
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:

@@ -63,6 +63,17 @@ def test_substring_dedup(spark, monkeypatch, frequent, segments):
     assert all(r["n_removed"] == sum(s["to"] - s["from"] for s in r["spans"]) for r in found) and sum(r["n_removed"] for r in found) > 500
 
 
+def test_frequent_anchors_have_no_index(spark, monkeypatch):
+    """Their windows are merged already, so that an index could find nothing."""
+    built, sharded = [], substring_dedup._sharded
+    monkeypatch.setattr(substring_dedup, "_sharded", lambda found, rows: built.append(rows) or sharded(found, rows))
+    monkeypatch.setattr(substring_dedup, "FREQUENT", 1)
+    rows = edge.unique()
+    found = substring_dedup.substring_dedup(spark.createDataFrame(rows, edge.SCHEMA)).collect()
+    assert built == [0]  # the one of the other anchors
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found} == removed(rows)
+
+
 def test_substring_dedup_takes_nulls_and_nothing(spark):
     docs = spark.createDataFrame(edge.rows(), edge.SCHEMA)
     found = substring_dedup.substring_dedup(docs)
