@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,48 +27,90 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Bound the Arrow batches of this session, so that a Python worker holds few texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_BATCH) -> Iterator[pa.RecordBatch]:
+    """The batches cut into short ones, so that a Python worker works on few texts at once; Spark bounds their bytes."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "prosemill-scratch")
+    """The shared folder that the cluster names. On one machine alone a folder of our own will do where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "prosemill-scratch")
+
+
+#: Scratch folders that are still there, with their sessions.
+_LEFT: dict[str, SparkSession] = {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to a Parquet table in the shared folder and read again: cuts the lineage, survives executors."""
+    """df written to a Parquet table in the shared folder and read again: cuts the lineage, survives executors.
+
+    What dropped() doesn't remove goes when Python ends, or by clear_scratch().
+    """
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _LEFT[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm  # PySpark has no function that deletes files
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Remove scratch tables that nothing reads any more, and let Spark clean up the shuffles behind them."""
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+        for path in [x for x in _LEFT if x.rpartition("/")[2] in {f.rpartition("/")[2] for f in folders}]:
+            _delete(_LEFT.pop(path), path)
     gc.collect()
     tables[0].sparkSession._jvm.System.gc()
 
 
+@atexit.register
+def clear_scratch() -> None:
+    """Remove all scratch tables of this process. Results that weren't written yet can't be read any more."""
+    while _LEFT:
+        path, spark = _LEFT.popitem()
+        with contextlib.suppress(Exception):  # the session may have ended
+            _delete(spark, path)
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [col(c) for c in df.columns]
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Names for further columns, which df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return [next(x for x in (s + "_" * k for k in range(len(taken) + 1)) if x not in taken) for s in stems]
+
+
 def order_id(column: str | Column) -> Column:
     """doc_id as a sort key without nulls."""
-    return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("long"), F.lit(NULL_ID))
+    return F.coalesce((col(column) if isinstance(column, str) else column).cast("long"), F.lit(NULL_ID))
 
 
 def text_key(column: str) -> Column:
     """Tells apart rows that share a doc_id but not a text."""
-    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+    return F.xxhash64(F.coalesce(col(column), F.lit("")))
 
 
 def slot_of(column: str | Column) -> Column:
     """A place in a bitmap for a 64-bit hash; slots() gives the same."""
-    return F.shiftrightunsigned(F.col(column) if isinstance(column, str) else column, 16)
+    return F.shiftrightunsigned(col(column) if isinstance(column, str) else column, 16)
 
 
 def slots(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -112,8 +159,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def as_bytes(array) -> list[bytes]:
     """An Arrow string column as UTF-8; nulls are empty."""
-    import pyarrow as pa
-
     return [x or b"" for x in array.cast(pa.binary()).to_pylist()]
 
 

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from prosemill.llm.common import dropped, written
 
 
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether each node but the centres has one edge, and no centre any to a lesser node."""
-    chained = edges.join(edges.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").isEmpty()
-    return chained and edges.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+def _observed(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """edges written, and what tells whether they change: their number and a sum of hashes, taken along the way."""
+    seen = Observation(name)
+    total = F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))
+    out = written(edges.observe(seen, F.count("*").alias("n"), total.alias("total")), name)
+    return out, (seen.get["n"], seen.get["total"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp for each node of edges (columns a, b, of any ordered type): comp is its component's least node.
 
-    The nodes of an edge may be equal; such edges and edges with a null say nothing. Repeated edges count once.
+    The nodes of an edge may be equal; such edges and edges with a null say nothing. Repeated edges count once. Without
+    edges there are no rows.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-    now = written(pairs.distinct(), "edges")
-    while not _are_stars(now):
+    now, state = _observed(pairs.distinct(), "edges")
+    before = None
+    while state[0] and state != before:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
@@ -29,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(down, "hi")
         small = joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(down)
-        old, now = now, written(small.distinct(), "small-star")
+        old, before = now, state
+        now, state = _observed(small.distinct(), "small-star")
         dropped(large, old)
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("comp")).union(
         now.select(F.col("lo").alias("node"), F.col("lo").alias("comp")).distinct()

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import as_bytes, bitmaps, has_bit, small_batches, written
+from prosemill.llm.common import as_bytes, bitmaps, has_bit, slices, written
 
 #: Bits of the filter that finds the documents in buckets of several (2 MB); a full one only costs time.
 FILTER_BITS = 24
@@ -58,7 +58,7 @@ def _differing(docs: DataFrame, text_col: str, digests: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(marks.value, np.uint8)
-        for batch in batches:
+        for batch in slices(batches):
             forms = [canonical(x or "") for x in batch.column(0).to_pylist()]
             names = [digest(x) for x in forms]
             slots = np.array([slot(x) for x in names], np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
@@ -75,10 +75,9 @@ def _differing(docs: DataFrame, text_col: str, digests: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint for each row of docs. A null text is empty; equal texts have equal fingerprints."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             forms = [canonical(x or "") for x in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array([digest(x) for x in forms], pa.string()), pa.array([proof(x) for x in forms], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "proof"])
@@ -121,7 +120,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = zip(*rows, strict=True) if rows else [[] for _ in names]
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if waiting is None:
@@ -144,7 +143,6 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of a range meet those of its neighbours.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").asc()]
     dealt = plain.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -163,7 +161,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["n_chars", "edited_sha256", "digest", "proof", "edited_digest", "edited_proof", "near_edited", "near_next"]
         kinds = [pa.int64(), *[pa.string()] * 5, pa.float64(), pa.float64()]
-        for batch in batches:
+        for batch in slices(batches):
             rows = [_compared(x, y) for x, y in zip(batch.column("text").to_pylist(), batch.column("next_text").to_pylist(), strict=True)]
             columns = zip(*rows, strict=True) if rows else [[] for _ in names]
             arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]

@@ -8,12 +8,10 @@ ones by the inverted lists of their first shingles (l = 1); light sets that a he
 these lists too. The boundary is the size up to which subsets cost less than lists, by the corpus's own list
 lengths. Equal sets are one node. Candidates are checked by the sets themselves.
 
-Of a pair, the smaller set can do with fewer first shingles (its index prefix); for frequent shingles, whose lists
-are long, only such entries of the smaller set count.
-
-Only the groups are asked for, so not all links inside one are looked at: rounds of stars (each list's members
-against a few of them) first, then every candidate pair whose ends are still in different groups. That loses no
-group: a pair that isn't checked has both ends in one already.
+Only the groups are asked for, so not all links inside one are looked at: stars first (each list's members against
+a few of them), then every pair of list members that are still in different groups and that sizes, places and the
+sets' parity sketches don't rule out. That loses no group: a pair that isn't checked has both ends in one already,
+or can't link.
 """
 
 from __future__ import annotations
@@ -29,23 +27,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.llm.common import (
-    NULL_ID, as_bytes, bitmaps, dropped, has_bit, mixed, order_id, slot_of, slots, small_batches, text_key, window_hashes, word_hashes, written,
+    NULL_ID, as_bytes, bitmaps, col, columns_of, dropped, has_bit, mixed, order_id, slices, slot_of, slots, text_key, unused,
+    window_hashes, word_hashes, written,
 )
 from prosemill.llm.components import components
 
 SHINGLE = 5
 #: Similarity 0.8 as a fraction.
 NUM, DEN = 4, 5
-#: Lists longer than this are long; shingles counted so much over what a counter holds by chance come last.
+#: Shingles counted so much over what a counter holds by chance come last.
 HOT = 32
-#: Bits of the filters for late shingles (with a counter for each) and for signatures that more than one document has.
-HOT_BITS, REPEATED_BITS = 22, 27
-#: Counters in a row, and rows that are added up at once.
+#: Bits of the filters for late shingles (with a counter for each), and of those for signatures that more than one
+#: document has and for wanted documents at most. As these fill they let more through, never too little.
+HOT_BITS, REPEATED_BITS, WANTED_BITS = 22, 27, 24
+#: Counters in a row, and parts that the tasks' counters are added up in first.
 CHUNK, FAN_IN = 1 << 16, 64
-#: Star rounds, and the stars' centres that a set is checked against in a round.
-ROUNDS, CENTRES = 2, 4
-#: Light sets are no larger than this, whatever the costs.
-MOST_LIGHT = 64
+#: The stars' centres that a set is checked against in a list.
+CENTRES = 4
+#: Bits of a set's parity sketch.
+SKETCH = 512
+#: What a signature costs to write and to shuffle, in comparisons of list members.
+ROW_COST = 8
 
 
 def shingles(raw: bytes) -> np.ndarray:
@@ -66,8 +68,8 @@ def index_overlap(n: int) -> int:
     return -(-2 * NUM * n // (NUM + DEN))
 
 
-#: What an entry is: on an inverted list (else a subset), on a long list, of the index prefix alone, of late shingles alone.
-LIST, FREQUENT, INDEX, LATE = 1, 2, 4, 8
+#: What an entry is: on an inverted list (else a subset), of the index prefix, of late shingles alone.
+LIST, INDEX, LATE = 1, 4, 8
 
 
 def signatures(found: np.ndarray, hot: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,33 +84,47 @@ def signatures(found: np.ndarray, hot: np.ndarray, boundary: int) -> tuple[np.nd
     sigs, kinds, places = [], [], []
     if n > boundary or n >= overlap(boundary + 1):
         sigs.append(found[:probe])
-        kinds.append(LIST + (FREQUENT + LATE) * late[:probe] + INDEX * (np.arange(probe) < index))
+        kinds.append(LIST + LATE * late[:probe] + INDEX * (np.arange(probe) < index))
         places.append(np.arange(probe))
     if 2 <= n <= boundary:
         i, j = np.triu_indices(min(n, probe + 1), 1)
         low, high = np.minimum(found[i], found[j]), np.maximum(found[i], found[j])
         sigs.append(mixed(low * np.uint64(0xC2B2AE3D27D4EB4F) + mixed(high)))
-        kinds.append((FREQUENT + LATE) * (late[i] & late[j]) + INDEX * (j < index + 1))
+        kinds.append(LATE * (late[i] & late[j]) + INDEX * (j < index + 1))
         places.append(np.zeros(len(i), int))
     if not sigs:
         return none
     return np.concatenate(sigs), np.concatenate(kinds).astype(np.int8), np.concatenate(places).astype(np.int32)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """SKETCH bits, as signed 64-bit numbers: whether an odd number of the set's shingles fall into each slot.
+
+    Two sets that differ in d shingles differ in at most d bits, and in nearly d if d is small.
+    """
+    odd = np.bincount((found >> np.uint64(48)).view(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def boundary_by_cost(mean_list: float) -> int:
-    """The largest size whose 2-subsets cost no more than its inverted lists of mean_list entries each."""
-    best = 0
-    for n in range(2, MOST_LIGHT + 1):
+    """The largest size whose 2-subsets cost no more than its inverted lists of mean_list entries each.
+
+    A signature costs ROW_COST to shuffle and a comparison for each member of its list; a subset's list is its own.
+    """
+    n, best = 2, 0
+    while True:
         k = n - overlap(n) + 2
-        if k * (k - 1) / 2 <= (k - 1) * (1 + mean_list):
+        if k * (k - 1) / 2 * (ROW_COST + 1) <= (k - 1) * (ROW_COST + mean_list):
             best = n
-    return best
+        elif k > 3:  # from here on k only grows, and with it the subsets' share
+            return best
+        n += 1
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), order_id(id_col).alias("dk"), text_key(text_col).alias("th"),
-        F.col(text_col).cast("string").alias("text"),
+        col(id_col).cast("long").alias("doc_id"), order_id(id_col).alias("dk"), text_key(text_col).alias("th"),
+        col(text_col).cast("string").alias("text"),
     )
 
 
@@ -116,63 +132,69 @@ def _counters(packed: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(packed), np.int64)
 
 
-def _added(table: pa.Table) -> pa.Table:
-    """The counters of rows of the same chunk, added up."""
-    total = sum(_counters(x) for x in table.column("counters").to_pylist())
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "task": pa.array([table.column("task")[0].as_py() // FAN_IN], pa.int32()), "counters": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
+COUNTERS = "chunk int, part int, counters binary"
+
+
+def _counter_rows(totals: dict[int, np.ndarray], part: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "chunk": pa.array(list(totals), pa.int32()), "part": pa.array([part] * len(totals), pa.int32()),
+        "counters": pa.array([zstandard.compress(c.tobytes(), 1) for c in totals.values()], pa.binary()),
+    })
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counters of each chunk added up; a task holds one array for each chunk, however many rows it reads."""
+    totals: dict[int, np.ndarray] = {}
+    for batch in slices(batches, 1):
+        chunk, counters = batch.column(0)[0].as_py(), _counters(batch.column(2)[0].as_py())
+        totals[chunk] = totals[chunk] + counters if chunk in totals else counters
+    yield _counter_rows(totals, 0)
 
 
 def late_shingles(plain: DataFrame) -> tuple[bytes, float]:
-    """A bitmap of the shingles that many documents have, and the mean length of a shingle's list.
+    """A bitmap of the shingles that many documents have, and the mean length of the other shingles' lists.
 
-    A task counts all its documents' shingles in 2**HOT_BITS counters by hash; these are added up in rounds. A
-    counter that exceeds what it holds by chance by more than HOT marks its shingles; some marks are false, which
-    only changes the order. The mean length is the second moment of the counts over the first.
+    plain: text; null and empty texts count nothing, equal texts count each. A task counts all its documents' shingles
+    in 2**HOT_BITS counters by hash; these are added up twice, by parts and in all. A counter that exceeds what it holds by
+    chance by more than HOT marks its shingles; some marks are false, which only changes the order. The mean length is
+    the second moment of the counts over the first. Without texts no shingle is late and the mean is 1.
     """
+    m = 1 << HOT_BITS
+    size = min(CHUNK, m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << HOT_BITS, np.int64)
-        for batch in batches:
+        counters = np.zeros(m, np.int64)
+        for batch in slices(batches):
             found = [shingles(raw) for raw in as_bytes(batch.column(0))]
             places = slots(np.concatenate([np.empty(0, np.uint64), *found]), HOT_BITS)
-            np.add(counters, np.bincount(places.view(np.int64), minlength=len(counters)), out=counters)
-        task, chunks = TaskContext.get().partitionId(), counters.reshape(-1, min(CHUNK, len(counters)))
-        yield pa.RecordBatch.from_pydict({
-            "chunk": pa.array(range(len(chunks)), pa.int32()), "task": pa.array([task] * len(chunks), pa.int32()),
-            "counters": pa.array([zstandard.compress(c.tobytes(), 1) for c in chunks], pa.binary()),
-        })
-
-    schema = "chunk int, task int, counters binary"
-    rows, left = plain.select("text").mapInArrow(run, schema), plain.rdd.getNumPartitions()
-    while True:
-        rows = rows.groupBy("chunk", F.floor(F.col("task") / FAN_IN).alias("group")).applyInArrow(_added, schema)
-        if left <= FAN_IN:
-            break
-        left = -(-left // FAN_IN)
-    rows = written(rows, "counters")
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_counters(x) for x in batch.column(0).to_pylist()]
-            sums = [float(c.sum()) for c in found], [float((c.astype(float) ** 2).sum()) for c in found]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()) for x in sums], ["a", "b"])
-
-    first, second = rows.select("counters").mapInArrow(moments, "a double, b double").agg(F.sum("a"), F.sum("b")).first()
-    m = 1 << HOT_BITS
-    mean = (first or 0.0) / m
+            np.add(counters, np.bincount(places.view(np.int64), minlength=m), out=counters)
+        yield _counter_rows(dict(enumerate(counters.reshape(-1, size))), TaskContext.get().partitionId() % FAN_IN)
+
+    rows = plain.select("text").mapInArrow(run, COUNTERS).repartition("chunk", "part").mapInArrow(_added, COUNTERS)
+    rows = written(rows.repartition("chunk").mapInArrow(_added, COUNTERS), "counters")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([pa.array([float(_counters(batch.column(0)[0].as_py()).sum())])], ["a"])
+
+    mean = (rows.select("counters").mapInArrow(sums, "a double").agg(F.sum("a")).first()[0] or 0.0) / m
     most = mean + 6 * mean**0.5 + HOT
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [np.packbits(_counters(x) > most, bitorder="little").tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["chunk", "bits"])
-
-    size = min(CHUNK, m) // 8
-    out = bytearray(m // 8)
-    for row in rows.select("chunk", "counters").mapInArrow(marked, "chunk int, bits binary").collect():  # m / 8 bytes in all
-        out[row["chunk"] * size : (row["chunk"] + 1) * size] = row["bits"]
-    square = ((second or 0.0) - m * mean**2) / (1 - 1 / m)
+        for batch in slices(batches, 1):
+            counters = _counters(batch.column(1)[0].as_py())
+            late, rest = counters > most, counters[counters <= most].astype(float)
+            bits = np.packbits(late, bitorder="little").tobytes()
+            values = [[bits], [float(len(rest))], [rest.sum()], [(rest**2).sum()]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, values)], ["chunk", "bits", "n", "a", "b"])
+
+    out, (n, first, second) = bytearray(m // 8), (0.0, 0.0, 0.0)
+    kind = "chunk int, bits binary, n double, a double, b double"
+    for row in rows.select("chunk", "counters").mapInArrow(marked, kind).collect():  # m / 8 bytes in all
+        out[row["chunk"] * size // 8 : (row["chunk"] + 1) * size // 8] = row["bits"]
+        n, first, second = n + row["n"], first + row["a"], second + row["b"]
     dropped(rows)
+    square = second - first**2 / max(n, 1.0)  # less what counters hold by chance
     return bytes(out), max(1.0, square / first) if first else 1.0
 
 
@@ -181,69 +203,74 @@ def _listed(plain: DataFrame, hot, boundary: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(hot.value, np.uint8)
-        for batch in batches:
+        for batch in slices(batches):
             parts = [signatures(shingles(raw), marks, boundary)[0] for raw in as_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64))], ["sig"])
 
     return plain.select("text").mapInArrow(run, "sig long")
 
 
-TABLE = "dk long, n int, frequent int, late int, doc_id long, th long, cls binary, sig long, kind byte, place int"
+PARITIES = [f"k{i}" for i in range(SKETCH // 64)]
+TABLE = "dk long, n int, late int, doc_id long, th long, cls binary, sig long, kind byte, place int, " + ", ".join(f"{k} long" for k in PARITIES)
 
 
-def _tabled(plain: DataFrame, hot, repeated, long, boundary: int) -> DataFrame:
-    """A row for each document (cls: a digest of its set) and for each of its repeated signatures."""
+def _tabled(plain: DataFrame, hot, repeated) -> DataFrame:
+    """A row for each document (cls: a digest of its set; its sketch) and for each of its repeated signatures.
+
+    repeated: the bitmap and the boundary.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, twice, many = (np.frombuffer(x.value, np.uint8) for x in (hot, repeated, long))
-        columns = [x.split()[0] for x in TABLE.split(", ")]
-        for batch in batches:
-            names, sizes, frequent, common = [], [], [], []
+        late, (packed, boundary) = np.frombuffer(hot.value, np.uint8), repeated.value
+        twice = np.frombuffer(packed, np.uint8)
+        names = [x.split()[0] for x in TABLE.split(", ")]
+        for batch in slices(batches):
+            digests, sizes, common, sketches = [], [], [], []
             found, kinds, places, owners = ([np.empty(0, t)] for t in (np.uint64, np.int8, np.int32, np.int64))
             for k, raw in enumerate(as_bytes(batch.column("text"))):
                 whole = shingles(raw)
                 sigs, kind, place = signatures(whole, late, boundary)
-                at = slots(sigs, REPEATED_BITS)
-                some = has_bit(twice, at)
-                kind |= (FREQUENT * has_bit(many, at)).astype(np.int8)
-                found.append(sigs[some]), kinds.append(kind[some]), places.append(place[some]), owners.append(np.full(int(some.sum()), k))
-                names.append(xxhash.xxh3_128_digest(whole.tobytes()))
+                some = np.flatnonzero(has_bit(twice, slots(sigs, REPEATED_BITS)))
+                found.append(sigs[some]), kinds.append(kind[some]), places.append(place[some]), owners.append(np.full(len(some), k))
+                digests.append(xxhash.xxh3_128_digest(whole.tobytes()))
                 sizes.append(len(whole))
                 common.append(int(has_bit(late, slots(whole, HOT_BITS)).sum()))
-                frequent.append(int((kind & (LIST + FREQUENT) == LIST + FREQUENT).sum()))
-            own, sums = batch.column("dk"), [pa.array(x, pa.int32()) for x in (sizes, frequent, common)]
-            ids = [batch.column("doc_id"), batch.column("th"), pa.array(names, pa.binary())]
-            yield pa.RecordBatch.from_arrays([own, *sums, *ids, *[pa.nulls(len(names), t) for t in (pa.int64(), pa.int8(), pa.int32())]], columns)
+                sketches.append(parities(whole))
+            own, sums = batch.column("dk"), [pa.array(x, pa.int32()) for x in (sizes, common)]
+            ids = [batch.column("doc_id"), batch.column("th"), pa.array(digests, pa.binary())]
+            none = [pa.nulls(len(digests), t) for t in (pa.int64(), pa.int8(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([own, *sums, *ids, *none, *map(pa.array, np.array(sketches).T)], names)
             at = pa.array(np.concatenate(owners))
             none = [pa.nulls(len(at), pa.int64())] * 2 + [pa.nulls(len(at), pa.binary())]
             sigs = [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(kinds)), pa.array(np.concatenate(places))]
-            yield pa.RecordBatch.from_arrays([own.take(at), *[x.take(at) for x in sums], *none, *sigs], columns)
+            arrays = [own.take(at), *[x.take(at) for x in sums], *none, *sigs, *[pa.nulls(len(at), pa.int64())] * len(PARITIES)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return plain.select("doc_id", "dk", "th", "text").mapInArrow(run, TABLE)
 
 
-def _verified(pairs: DataFrame, plain: DataFrame, documents: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough. The texts of these nodes alone are looked up."""
-    nodes = pairs.select(F.col("a").alias("dk")).union(pairs.select("b")).distinct()
-    wanted = written(documents.where("dk = rep").select("dk", "th").join(nodes, "dk", "left_semi").distinct(), "wanted")
-    place = F.xxhash64("dk", "th")
-    bits = plain.sparkSession.sparkContext.broadcast(bitmaps(wanted, slot_of(place), HOT_BITS, wanted=F.lit(True))["wanted"])
+def _verified(pairs: DataFrame, plain: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar enough. Sets are made for the texts of these nodes alone."""
+    spark, key = plain.sparkSession, F.xxhash64("dk")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("dk"))
+    bits = spark.sparkContext.broadcast(bitmaps(nodes, slot_of(key), WANTED_BITS, wanted=F.lit(True))["wanted"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(bits.value, np.uint8)
-        for batch in batches:
-            places = batch.column("place").to_numpy(zero_copy_only=False).view(np.uint64)
-            some = batch.filter(pa.array(has_bit(marks, slots(places, HOT_BITS))))
+        for batch in slices(batches):
+            keys = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            some = batch.filter(pa.array(has_bit(marks, slots(keys, WANTED_BITS))))
             sets = [shingles(raw).view(np.int64) for raw in as_bytes(some.column("text"))]
             yield pa.RecordBatch.from_arrays([some.column("dk"), some.column("th"), pa.array(sets, pa.list_(pa.int64()))], ["dk", "th", "s"])
 
-    found = plain.select("dk", "th", "text", place.alias("place")).mapInArrow(run, "dk long, th long, s array<long>")
-    sets = written(found.join(wanted, ["dk", "th"], "left_semi").dropDuplicates(["dk", "th"]), "sets")
+    found = plain.select("dk", "th", "text", key.alias("key")).mapInArrow(run, "dk long, th long, s array<long>")
+    sets = written(found.join(nodes, "dk", "left_semi").dropDuplicates(["dk", "th"]).select("dk", "s"), "sets")
+    bits.destroy()
     x, y = sets.select(F.col("dk").alias("a"), F.col("s").alias("x")), sets.select(F.col("dk").alias("b"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     linked = pairs.select("a", "b").join(y, "b").join(x, "a").where(DEN * both >= NUM * (F.size("x") + F.size("y") - both))
     out = written(linked.select("a", "b"), "links")
-    dropped(sets, wanted)
+    dropped(sets, pairs)
     return out
 
 
@@ -252,21 +279,22 @@ def _least_shared(na: str, nb: str):
     return F.ceil((F.col(na) + F.col(nb)) * NUM / (NUM + DEN)) - F.ceil(F.greatest(na, nb) * NUM / DEN) + 1
 
 
-def _stars(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of sets and centres of their lists that may link. members: sig, kind, dk, n, frequent, comp.
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs of sets and centres of their lists that may link. members: sig, dk, n, copies.
 
     A list's centres are its least members by CENTRES orders, the same for all lists, so that a set meets the same
-    centres in many of its lists. It need not find all links; a pair that shares far less than a link needs is
-    left to _rest.
+    centres in many of its lists. The first order begins with the set that most documents have: others are often
+    changed copies of it. It need not find all links; a pair that shares far less than a link needs is left to _rest.
     """
-    centre = lambda i: F.min(F.struct(F.xxhash64("dk", F.lit(turn * CENTRES + i)).alias("rank"), "dk", "n", "comp"))
+    rank = lambda i: F.struct(*[-F.col("copies")] * (i == 0), F.xxhash64("dk", F.lit(i)))
+    centre = lambda i: F.min(F.struct(rank(i).alias("rank"), "dk", "n"))
     centres = (
         members.groupBy("sig")
-        .agg(*[centre(i).alias(f"c{i}") for i in range(CENTRES)], F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .agg(*[centre(i).alias(f"c{i}") for i in range(CENTRES)], F.min("dk").alias("lo"), F.max("dk").alias("hi"))
         .where("lo <> hi")
-        .select("sig", F.array_distinct(F.array(*[F.struct(f"c{i}.dk", f"c{i}.n", f"c{i}.comp") for i in range(CENTRES)])).alias("centres"))
+        .select("sig", F.array_distinct(F.array(*[F.struct(f"c{i}.dk", f"c{i}.n") for i in range(CENTRES)])).alias("centres"))
     )
-    fits = lambda c: (c["comp"] != F.col("comp")) & (DEN * F.least(c["n"], F.col("n")) >= NUM * F.greatest(c["n"], F.col("n")))
+    fits = lambda c: (c["dk"] != F.col("dk")) & (DEN * F.least(c["n"], F.col("n")) >= NUM * F.greatest(c["n"], F.col("n")))
     return (
         members.join(centres, "sig")
         .select(F.col("dk").alias("a"), F.col("n").alias("na"), F.explode(F.filter("centres", fits)).alias("c"))
@@ -278,39 +306,40 @@ def _stars(members: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def _rest(members: DataFrame, boundary: int) -> DataFrame:
+def _rest(grouped: DataFrame, sketches: DataFrame) -> DataFrame:
     """All pairs of sets that share a signature, may link, and are in different groups.
 
-    The first shingle that two sets share is among the first of both, as few as these two sizes need; on long lists
-    no others count. What such lists could add to
-    the shingles that two sets share is at most the smaller number of frequent ones among their first. Sets on a
-    list of a late shingle have all their other shingles among their first; so if they have too few late ones to
-    link by these alone, they share another, and meet on its list. The places of a common shingle bound what two
-    sets can share.
+    Pairs meet by signature and size: a size class reaches from one power of DEN / NUM to the next, and of a pair that
+    links the larger set is in the class of the smaller or in the next one. The first shingle that two sets share is
+    among the first of both, as few as these two sizes need, and all that they share stands from there on in both.
+    Sets on a list of a late shingle have all their other shingles among their first; so if they have too few late ones to
+    link by these alone, they share another, and meet on its list. Sets of n and m shingles that link differ
+    in at most (n + m) / 9 of them, and so do their sketches.
     """
-    several = members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    left = written(members.join(several, "sig", "left_semi"), "rest")
-    side = lambda x: left.select("sig", *[F.col(c).alias(f"{c}_{x}") for c in ("dk", "n", "frequent", "late", "comp", "kind", "place")])
+    several = grouped.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+    left = written(grouped.join(several, "sig", "left_semi").join(sketches.select("dk", *PARITIES), "dk"), "rest")
+    size = F.floor(F.log("n") / F.log(F.lit(DEN / NUM)))
+    side = lambda x, at: left.select("sig", at.alias("at"), *[F.col(c).alias(f"{c}_{x}") for c in ("dk", "n", "late", "comp", "kind", "place", *PARITIES)])
+    one, two = side("one", F.explode(F.array(size, size + 1))), side("two", size)
     has = lambda c, bit: F.col(c).bitwiseAND(F.lit(bit)) > 0
     # one is the smaller set, of equal ones that with the smaller id
     smaller = F.struct("n_one", "dk_one") < F.struct("n_two", "dk_two")
-    needed = F.ceil((F.col("n_one") + F.col("n_two")) * NUM / (NUM + DEN))
-    # what they can share before a common shingle, and after it
-    after = F.least(F.col("n_one") - F.col("place_one"), F.col("n_two") - F.col("place_two")) - 1
+    both = F.col("n_one") + F.col("n_two")
+    needed = F.ceil(both * NUM / (NUM + DEN))
+    reach = F.least(F.col("n_one") - F.col("place_one"), F.col("n_two") - F.col("place_two"))
+    differ = sum((F.bit_count(F.col(f"{k}_one").bitwiseXOR(F.col(f"{k}_two"))) for k in PARITIES), F.lit(0))
     pairs = (
-        side("one").join(side("two"), "sig")
+        one.where(has("kind_one", INDEX))
+        .join(two, ["sig", "at"])
         .where(smaller & (DEN * F.col("n_one") >= NUM * F.col("n_two")) & (F.col("comp_one") != F.col("comp_two")))
-        .where(~has("kind_one", FREQUENT) | has("kind_one", INDEX))
         .where(~has("kind_one", LATE) | (F.least("late_one", "late_two") >= needed))
-        .where(~has("kind_one", FREQUENT) | ((F.col("place_one") <= F.col("n_one") - needed) & (F.col("place_two") <= F.col("n_two") - needed)))
-        .where(~has("kind_one", LIST) | (F.least("place_one", "place_two") + 1 + after >= needed))
-        .groupBy(F.col("dk_one").alias("a"), F.col("dk_two").alias("b"), F.col("n_one").alias("na"), F.col("n_two").alias("nb"),
-                 F.least("frequent_one", "frequent_two").alias("more"))
-        .agg(F.sum((has("kind_one", LIST) & ~has("kind_one", FREQUENT)).cast("int")).alias("shared"))
-        .where((F.col("nb") <= boundary) | (F.col("shared") + F.col("more") >= _least_shared("na", "nb")))
-        .select("a", "b")
-    )
-    return pairs
+        .where(~has("kind_one", LIST) | (reach >= needed))
+        .where((NUM + DEN) * differ <= both)
+        .select(F.col("dk_one").alias("a"), F.col("dk_two").alias("b"))
+    )
+    out = written(pairs.distinct(), "pairs")
+    dropped(left)
+    return out
 
 
 def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,39 +351,35 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     also as a component_id. th is a hash of the text; first marks the row with the least (doc_id, th) of its
     component, and rows with empty sets.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    context = docs.sparkSession.sparkContext
     plain = _plain(docs, id_col, text_col)
-    # 1: shingles that many documents have, and how long lists are
+    # 1: shingles that many documents have, and how long the lists of the others are
     late, mean_list = late_shingles(plain)
-    boundary = boundary_by_cost(mean_list)
-    hot = spark.sparkContext.broadcast(late)
-    # 2: signatures in the final order that more than one document has, and those that many have all the same
+    boundary, hot = boundary_by_cost(mean_list), context.broadcast(late)
+    # 2: signatures that more than one document has
     counts = _listed(plain, hot, boundary).groupBy("sig").agg(F.count("*").alias("k"))
-    found = bitmaps(counts, slot_of("sig"), REPEATED_BITS, repeated=F.col("k") > 1, long=F.col("k") > HOT)
-    repeated, long = (spark.sparkContext.broadcast(found[k]) for k in ("repeated", "long"))
+    repeated = context.broadcast((bitmaps(counts, slot_of("sig"), REPEATED_BITS, repeated=F.col("k") > 1)["repeated"], boundary))
     # 3: documents, and the members of these lists; of equal sets one is a member
-    table = written(_tabled(plain, hot, repeated, long, boundary), "jaccard")
-    documents = table.where("cls IS NOT NULL").select("doc_id", "dk", "th", "cls", "n")
-    reps = documents.groupBy("cls").agg(F.min("dk").alias("rep"))
-    documents = written(documents.join(reps, "cls").select("doc_id", "dk", "th", "n", "rep"), "documents")
-    lists = table.where("cls IS NULL").select("sig", "kind", "place", "dk", "n", "frequent", "late")
-    members = written(lists.join(documents.where("dk = rep").select("dk").distinct(), "dk", "left_semi"), "members")
+    table = written(_tabled(plain, hot, repeated), "jaccard")
+    hot.destroy(), repeated.destroy()
+    documents = table.where("cls IS NOT NULL").select("doc_id", "dk", "th", "cls", "n", *PARITIES)
+    reps = documents.groupBy("cls").agg(F.min("dk").alias("rep"), F.count("*").alias("copies"))
+    documents = written(documents.join(reps, "cls").drop("cls"), "documents")
+    nodes = documents.where("dk = rep").select("dk", "copies", *PARITIES).dropDuplicates(["dk"])
+    lists = table.where("cls IS NULL").select("sig", "kind", "place", "dk", "n", "late")
+    members = written(lists.join(nodes.select("dk", "copies"), "dk"), "members")
     dropped(table)
-    # 4: groups
-    groups, grouped = None, members.withColumn("comp", F.col("dk"))
-    for turn in range(ROUNDS + 1):
-        if turn:
-            comps = groups.select(F.col("node").alias("dk"), F.col("comp").alias("__comp"))
-            grouped = written(members.join(comps, "dk", "left").select(*members.columns, F.coalesce("__comp", "dk").alias("comp")), "grouped")
-        # later rounds are for long lists, which is where many pairs are left
-        long_ones = grouped.where(F.col("kind").bitwiseAND(F.lit(LATE)) > 0) if turn else grouped
-        pairs = written(_stars(long_ones, turn) if turn < ROUNDS else _rest(grouped, boundary), "pairs")
-        links = _verified(pairs, plain, documents)
-        groups = written(components(links if groups is None else links.union(groups.select("node", "comp"))), "groups")
-        dropped(pairs, *[grouped] * (turn > 0))
-    groups = groups.select(F.col("node").alias("rep"), "comp")
-    labelled = written(documents.join(groups, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "labelled")
+    # 4: groups. A document is linked with the one that stands for its set, in case others share its id
+    links = _verified(written(_stars(members), "pairs"), plain)
+    own = documents.where("dk <> rep").select(F.col("dk").alias("a"), F.col("rep").alias("b"))
+    groups = written(components(links.union(own)), "groups")
+    comps = groups.select(F.col("node").alias("dk"), "comp")
+    grouped = members.join(comps, "dk", "left").withColumn("comp", F.coalesce("comp", "dk"))
+    more = _verified(_rest(written(grouped, "grouped"), nodes), plain)
+    groups = components(more.union(groups.select("node", "comp"))).select(F.col("node").alias("rep"), "comp")
+    labelled = documents.select("doc_id", "dk", "th", "n", "rep").join(groups, "rep", "left")
+    labelled = written(labelled.withColumn("comp", F.coalesce("comp", "rep")), "labelled")
+    dropped(members)
     least = labelled.where("n > 0").groupBy("comp").agg(F.min(F.struct("dk", "th")).alias("first"))
     found = labelled.join(least, "comp", "left")
     own = F.when(F.col("n") == 0, F.col("dk")).otherwise(F.col("first.dk"))
@@ -368,15 +393,16 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stand for their groups: those with the smallest doc_id.
 
-    Rows without words stay. Of rows that share the smallest id the one with the least text hash stays, of
-    rows equal in id and text one.
+    Rows without words, or with a null text, stay. Of rows that share the smallest id the one with the least text hash
+    stays, of rows equal in id and text one. Columns of any name are kept as they are. Nothing in, nothing out.
     """
+    dk, th = unused(docs, "kept_id", "kept_text")
     found = similarity_groups(docs, id_col, text_col).where("first AND n_shingles > 0")
-    keep = found.select(order_id("doc_id").alias("__dk"), F.col("th").alias("__th"))
-    wordy = F.coalesce(F.col(text_col), F.lit("")).rlike("[^ \\t-\\r]")
-    rows = docs.where(wordy).withColumn("__dk", order_id(id_col)).withColumn("__th", text_key(text_col))
-    kept = rows.join(keep, ["__dk", "__th"], "left_semi").dropDuplicates(["__dk", "__th"])
-    return kept.select(*docs.columns).union(docs.where(~wordy))
+    keep = found.select(order_id("doc_id").alias(dk), F.col("th").alias(th))
+    wordy = F.coalesce(col(text_col), F.lit("")).rlike("[^ \\t-\\r]")
+    rows = docs.where(wordy).withColumns({dk: order_id(id_col), th: text_key(text_col)})
+    kept = rows.join(keep, [dk, th], "left_semi").dropDuplicates([dk, th])
+    return kept.select(*columns_of(docs)).union(docs.where(~wordy))
 
 
 ORACLE = """

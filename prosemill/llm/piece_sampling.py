@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import mixed, small_batches
+from prosemill.llm.common import mixed, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -454,7 +454,6 @@ def sample_encodings(
     numbers, ids are null if not asked for. The model is read on the driver and sent along.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(tuple(vars(load_pieces(model, sharpness)).values()))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -462,7 +461,7 @@ def sample_encodings(
         pieces = Pieces(*shared.value)
         lattices, decoder = Lattices(pieces), Decoder(pieces.table)
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             seeds = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
             a = 0

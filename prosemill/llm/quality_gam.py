@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import as_bytes, small_batches
+from prosemill.llm.common import as_bytes, slices
 
 FEATURES = (
     "log_bytes", "log_words", "upper", "symbols", "exclamations", "digits", "stops", "commas", "bars", "wide",
@@ -168,7 +168,7 @@ def fit_gam(
 def _featured(plain: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in slices(batches):
             x = pa.array([list(features(t, press)) for t in as_bytes(batch.column("text"))], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("label"), x], ["label", "x"])
 
@@ -189,7 +189,6 @@ def fit_quality(
     Of more than most_labels such rows it takes those with the smallest hashes. An id labelled twice counts
     twice, and so do rows of docs that share it.
     """
-    small_batches(docs.sparkSession)
     used = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
     chosen = (
         used.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -206,11 +205,10 @@ def fit_quality(
 
 def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs. A null text is scored as the empty one."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([features(t, press) for t in as_bytes(batch.column("text"))], float).reshape(-1, len(FEATURES))
             score = model.score(x)
             arrays = [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))]

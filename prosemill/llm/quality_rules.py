@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from prosemill.llm.common import as_bytes, small_batches
+from prosemill.llm.common import as_bytes, slices
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
@@ -106,7 +106,7 @@ def judged(raw: bytes, n_chars: int, bands: Bands, press: zstandard.ZstdCompress
 
 def _batches(batches: Iterator[pa.RecordBatch], text: str, bands: Bands) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
     press = zstandard.ZstdCompressor(level=bands.level)
-    for batch in batches:
+    for batch in slices(batches):
         texts = as_bytes(batch.column(text))
         chars = pa.compute.utf8_length(batch.column(text)).fill_null(0).to_pylist()
         yield batch, [judged(x, n, bands, press) for x, n in zip(texts, chars, strict=True)]
@@ -118,7 +118,6 @@ def compression_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A null text counts as empty: no words, base_failed. A null id stays null. Equal rows give equal rows.
     Other columns are not read. No shuffle; a task holds one batch of texts.
     """
-    small_batches(docs.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +131,6 @@ def compression_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def keep_by_rules(docs: DataFrame, text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
     """The rows of docs, with all their columns, that the rules keep. Null and empty texts go."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in _batches(batches, text_col, bands):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.llm.common import (
-    as_bytes, bitmaps, dropped, has_bit, order_id, slot_of, slots, small_batches, text_key, window_hashes, word_hashes, written,
+    as_bytes, bitmaps, dropped, has_bit, order_id, slices, slot_of, slots, text_key, window_hashes, word_hashes, written,
 )
 from prosemill.llm.fm_index import FMIndex, matches
 
@@ -46,7 +46,7 @@ def segments(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [segments(word_hashes(raw.split()))[2] for raw in as_bytes(batch.column(0))]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["anchor"])
 
@@ -60,7 +60,7 @@ def _segments(plain: DataFrame, repeated, frequent) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice, often = np.frombuffer(repeated.value, np.uint8), np.frombuffer(frequent.value, np.uint8)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for dk, th, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
                 words = raw.split()
@@ -145,7 +145,7 @@ def _sharded(found: DataFrame, rows: int) -> DataFrame:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of segments, keyed by their own hash."""
     names = ["key", "dk", "th", "start", "words"]
-    for batch in batches:
+    for batch in slices(batches):
         out: list[tuple] = []
         for dk, th, start, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             words = raw.split(b" ")
@@ -212,7 +212,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stand in the order of their texts' hashes; rows equal in id and text are one document, and get equal results.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     plain = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), order_id(id_col).alias("dk"), text_key(text_col).alias("th"),
         F.col(text_col).cast("string").alias("text"),
@@ -224,7 +223,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Results of documents without marks; the texts of the others stay."""
         bits = np.frombuffer(marked.value, np.uint8)
-        for batch in batches:
+        for batch in slices(batches):
             places = batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
             stays = has_bit(bits, slots(places, BITS - 3))
             words = [x.split() for x in as_bytes(batch.column(3))]
@@ -234,7 +233,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "dk", "th", "n_words", "hash", "words"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             removed, hashes, spans = [], [], []
             for n, known, text, marks in zip(*(batch.column(k).to_pylist() for k in range(1, 5)), strict=True):
                 if text is None:

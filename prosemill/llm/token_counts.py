@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import small_batches
+from prosemill.llm.common import slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenisation pattern of that vocabulary (a fixed value).
@@ -33,14 +33,13 @@ def encoded_lengths(
     The vocabulary file is read on the driver and sent to the executors; its size is fixed.
     """
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
     ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-        for batch in batches:
+        for batch in slices(batches):
             counts = [len(encoding.encode_ordinary(x)) if x else 0 for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 

@@ -144,10 +144,19 @@ def corpus(seed, n=140):
     return rows
 
 
+def test_boundary_follows_the_lists():
+    """It has no limit of its own: the longer the lists are, the larger the sets whose subsets are cheaper."""
+    found = [jaccard_join.boundary_by_cost(x) for x in (1.0, 6.0, 100.0, 5000.0)]
+    assert found == sorted(found) and found[0] >= 2 and found[-1] > 1000
+    for n, mean in zip(found, (1.0, 6.0, 100.0, 5000.0), strict=True):
+        k = n - jaccard_join.overlap(n) + 2
+        assert k / 2 * (jaccard_join.ROW_COST + 1) <= jaccard_join.ROW_COST + mean
+
+
 @pytest.mark.parametrize(("seed", "hot", "light"), [(1, 32, 64), (2, 2, 64), (3, 4, 0), (4, 1, 20)])
 def test_groups(spark, monkeypatch, seed, hot, light):
     monkeypatch.setattr(jaccard_join, "HOT", hot)
-    monkeypatch.setattr(jaccard_join, "MOST_LIGHT", light)
+    monkeypatch.setattr(jaccard_join, "boundary_by_cost", lambda _: light)
     rows = corpus(seed)
     found = jaccard_join.similarity_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     sets = sets_of(rows)
@@ -195,5 +204,12 @@ def test_every_link_shares_a_signature():
         for boundary in (0, 20, 64):
             s1, k1, p1 = jaccard_join.signatures(small, hot, boundary)
             s2, _, p2 = jaccard_join.signatures(large, hot, boundary)
-            shared = np.isin(s1, s2)
-            assert (shared & (((k1 & jaccard_join.FREQUENT) == 0) | ((k1 & jaccard_join.INDEX) > 0))).any()
+            at = {int(x): p for x, p in zip(s2, p2, strict=True)}
+            need = -(-4 * (len(a) + len(b)) // 9)
+            late = [int(common.has_bit(hot, common.slots(x, jaccard_join.HOT_BITS)).sum()) for x in (a, b)]
+            assert any(
+                k & jaccard_join.INDEX and int(s) in at and (not k & jaccard_join.LATE or min(late) >= need)
+                and (not k & jaccard_join.LIST or min(len(small) - p, len(large) - at[int(s)]) >= need)
+                for s, k, p in zip(s1.tolist(), k1.tolist(), p1.tolist(), strict=True)
+            )
+        assert 9 * np.bitwise_count((jaccard_join.parities(a) ^ jaccard_join.parities(b)).view(np.uint64)).sum() <= len(a) + len(b)
