@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Documents go to Python in batches of so many rows, as one text may be very long.
 ROWS_PER_BATCH = 256
+#: Parts in which a bitmap comes to the driver, a job for each.
+FETCHES = 4
 #: Stands for a null doc_id where an order is needed: nulls come first.
 NULL_ID = -(2**63)
 
@@ -130,6 +132,7 @@ def bitmaps(counts: DataFrame, slot: Column, bits: int, sums: dict[str, Column]
             *[F.bitmap_construct_agg(F.when(c, F.bitmap_bit_position(at))).alias(k) for k, c in conditions.items()],
             *[F.sum(c).alias(k) for k, c in (sums or {}).items()],
         )
+        .repartition(FETCHES)
         .toLocalIterator()
     )
     out: dict = {k: np.zeros((1 << bits) // 8, np.uint8) for k in conditions}

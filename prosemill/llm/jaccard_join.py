@@ -9,9 +9,9 @@ these lists too. The boundary is the size up to which subsets cost less than lis
 lengths. Equal sets are one node. Candidates are checked by the sets themselves.
 
 Only the groups are asked for, so not all links inside one are looked at: stars first (each list's members against
-a few of them), then every pair of list members that are still in different groups and that sizes, places and the
-sets' parity sketches don't rule out. That loses no group: a pair that isn't checked has both ends in one already,
-or can't link.
+the first few of them, the same for all lists), then, on lists that are longer, every pair of the others that are still in
+different groups. In both, sizes, places and the sets' parity sketches rule out what can't link. That loses no group: the
+first signature that two sets share has their pair in one of these, unless both ends are in one group already.
 """
 
 from __future__ import annotations
@@ -36,16 +36,16 @@ SHINGLE = 5
 #: Similarity 0.8 as a fraction.
 NUM, DEN = 4, 5
 #: Shingles counted so much over what a counter holds by chance come last.
-HOT = 32
+HOT = 8
 #: Bits of the filters for late shingles (with a counter for each), and of those for signatures that more than one
 #: document has and for wanted documents at most. As these fill they let more through, never too little.
-HOT_BITS, REPEATED_BITS, WANTED_BITS = 22, 27, 24
+HOT_BITS, REPEATED_BITS, WANTED_BITS = 23, 27, 24
 #: Counters in a row, and parts that the tasks' counters are added up in first.
 CHUNK, FAN_IN = 1 << 16, 64
-#: The stars' centres that a set is checked against in a list.
-CENTRES = 4
+#: The stars' centres that a set is checked against in a list, and parts that the list of a late shingle is dealt in.
+CENTRES, PARTS = 4, 16
 #: Bits of a set's parity sketch.
-SKETCH = 512
+SKETCH = 1024
 #: What a signature costs to write and to shuffle, in comparisons of list members.
 ROW_COST = 8
 
@@ -68,8 +68,8 @@ def index_overlap(n: int) -> int:
     return -(-2 * NUM * n // (NUM + DEN))
 
 
-#: What an entry is: on an inverted list (else a subset), of the index prefix, of late shingles alone.
-LIST, INDEX, LATE = 1, 4, 8
+#: What an entry is: on an inverted list (else a subset), a guest in a part of it, of the index prefix, of late shingles alone.
+LIST, GUEST, INDEX, LATE = 1, 2, 4, 8
 
 
 def signatures(found: np.ndarray, hot: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,13 +132,17 @@ def _counters(packed: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(packed), np.int64)
 
 
+def _packed(counters: np.ndarray) -> bytes:
+    return zstandard.compress(counters.astype(np.int64).tobytes(), 1)
+
+
 COUNTERS = "chunk int, part int, counters binary"
 
 
 def _counter_rows(totals: dict[int, np.ndarray], part: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({
         "chunk": pa.array(list(totals), pa.int32()), "part": pa.array([part] * len(totals), pa.int32()),
-        "counters": pa.array([zstandard.compress(c.tobytes(), 1) for c in totals.values()], pa.binary()),
+        "counters": pa.array([_packed(c) for c in totals.values()], pa.binary()),
     })
 
 
@@ -163,11 +167,12 @@ def late_shingles(plain: DataFrame) -> tuple[bytes, float]:
     size = min(CHUNK, m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(m, np.int64)
+        counters = np.zeros(m, np.int32)
         for batch in slices(batches):
             found = [shingles(raw) for raw in as_bytes(batch.column(0))]
             places = slots(np.concatenate([np.empty(0, np.uint64), *found]), HOT_BITS)
-            np.add(counters, np.bincount(places.view(np.int64), minlength=m), out=counters)
+            at, n = np.unique(places.view(np.int64), return_counts=True)
+            counters[at] += n.astype(np.int32)
         yield _counter_rows(dict(enumerate(counters.reshape(-1, size))), TaskContext.get().partitionId() % FAN_IN)
 
     rows = plain.select("text").mapInArrow(run, COUNTERS).repartition("chunk", "part").mapInArrow(_added, COUNTERS)
@@ -274,72 +279,128 @@ def _verified(pairs: DataFrame, plain: DataFrame) -> DataFrame:
     return out
 
 
-def _least_shared(na: str, nb: str):
-    """First shingles that two sets share at least, one of them heavy: the others are among the last of one."""
-    return F.ceil((F.col(na) + F.col(nb)) * NUM / (NUM + DEN)) - F.ceil(F.greatest(na, nb) * NUM / DEN) + 1
+MET = "a long, b long, sig long, dk long, n int, late int, kind byte, place int"
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Pairs of sets and centres of their lists that may link. members: sig, dk, n, copies.
+def may_link(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
+    """Which of the members x and y, of one list each, may be a pair whose first shared signature this is.
 
-    A list's centres are its least members by CENTRES orders, the same for all lists, so that a set meets the same
-    centres in many of its lists. The first order begins with the set that most documents have: others are often
-    changed copies of it. It need not find all links; a pair that shares far less than a link needs is left to _rest.
+    The first shingle that two sets share is among the first of both, as few as these two sizes need, and all that they
+    share stands from there on in both. Sets on a list of a late shingle have all their other shingles among their
+    first; so if they have too few late ones to link by these alone, they share another, and meet on its list before.
     """
-    rank = lambda i: F.struct(*[-F.col("copies")] * (i == 0), F.xxhash64("dk", F.lit(i)))
-    centre = lambda i: F.min(F.struct(rank(i).alias("rank"), "dk", "n"))
-    centres = (
-        members.groupBy("sig")
-        .agg(*[centre(i).alias(f"c{i}") for i in range(CENTRES)], F.min("dk").alias("lo"), F.max("dk").alias("hi"))
-        .where("lo <> hi")
-        .select("sig", F.array_distinct(F.array(*[F.struct(f"c{i}.dk", f"c{i}.n") for i in range(CENTRES)])).alias("centres"))
-    )
-    fits = lambda c: (c["dk"] != F.col("dk")) & (DEN * F.least(c["n"], F.col("n")) >= NUM * F.greatest(c["n"], F.col("n")))
+    less = (x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["dk"] < y["dk"]))
+    small, large, kind = np.minimum(x["n"], y["n"]), np.maximum(x["n"], y["n"]), np.where(less, x["kind"], y["kind"])
+    needed = -(-NUM * (small + large) // (NUM + DEN))
+    reach = np.minimum(x["n"] - x["place"], y["n"] - y["place"])
     return (
-        members.join(centres, "sig")
-        .select(F.col("dk").alias("a"), F.col("n").alias("na"), F.explode(F.filter("centres", fits)).alias("c"))
-        .groupBy("a", F.col("c.dk").alias("b"), "na", F.col("c.n").alias("nb"))
-        .agg(F.count("*").alias("shared"))
-        .where(4 * F.col("shared") >= _least_shared("na", "nb"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
+        (x["dk"] != y["dk"]) & (DEN * small >= NUM * large) & (kind & INDEX > 0)
+        & ((kind & LATE == 0) | (np.minimum(x["late"], y["late"]) >= needed)) & ((kind & LIST == 0) | (reach >= needed))
+    )
 
 
-def _rest(grouped: DataFrame, sketches: DataFrame) -> DataFrame:
-    """All pairs of sets that share a signature, may link, and are in different groups.
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """MET of members in the order of their lists: pairs (a, b) with the first CENTRES of a list, and the others as they are.
 
-    Pairs meet by signature and size: a size class reaches from one power of DEN / NUM to the next, and of a pair that
-    links the larger set is in the class of the smaller or in the next one. The first shingle that two sets share is
-    among the first of both, as few as these two sizes need, and all that they share stands from there on in both.
-    Sets on a list of a late shingle have all their other shingles among their first; so if they have too few late ones to
-    link by these alone, they share another, and meet on its list. Sets of n and m shingles that link differ
-    in at most (n + m) / 9 of them, and so do their sketches.
+    All members of a late shingle's list are among the others too, as such a list is dealt in parts.
+    """
+    names, kept = ("sig", "part", "dk", "n", "late", "kind", "place"), None
+    for batch in batches:
+        rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+        rows = {k: v.astype(np.int64) for k, v in rows.items()}
+        old = 0
+        if kept is not None:  # the first of the list that the last batch ended in
+            old = len(kept["dk"])
+            rows = {k: np.concatenate([kept[k], v]) for k, v in rows.items()}
+        total = len(rows["dk"])
+        if not total:
+            continue
+        begins = np.ones(total, bool)
+        begins[1:] = (rows["sig"][1:] != rows["sig"][:-1]) | (rows["part"][1:] != rows["part"][:-1])
+        at = np.arange(total)
+        start = np.maximum.accumulate(np.where(begins, at, 0))
+        new = at >= old
+        pairs = []
+        for k in range(CENTRES):
+            x = np.flatnonzero(new & (at - start > k))
+            one, two = ({c: v[i] for c, v in rows.items()} for i in (x, start[x] + k))
+            some = may_link(one, two)
+            pairs.append(np.stack([np.minimum(one["dk"], two["dk"])[some], np.maximum(one["dk"], two["dk"])[some]]))
+        found = np.unique(np.concatenate(pairs, 1), axis=1)
+        none = [pa.nulls(found.shape[1], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int8(), pa.int32())]
+        fields = [x.split()[0] for x in MET.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), *none], fields)
+        rest = np.flatnonzero(new & (rows["kind"] & GUEST == 0) & ((at - start >= CENTRES) | (rows["kind"] & LATE > 0)))
+        kinds = {"sig": pa.int64(), "dk": pa.int64(), "n": pa.int32(), "late": pa.int32(), "kind": pa.int8(), "place": pa.int32()}
+        values = [pa.array(rows[k][rest], pa.int64()).cast(t) for k, t in kinds.items()]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(rest), pa.int64()), pa.nulls(len(rest), pa.int64()), *values], fields)
+        last = slice(start[-1], min(start[-1] + CENTRES, total))
+        kept = {k: v[last] for k, v in rows.items()}
+
+
+def _met(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """MET of the members of lists (sig, kind, place, dk, n, late) that are in nodes (dk, copies).
+
+    In a list the set that most documents have comes first: others are often changed copies of it. Lists of late
+    shingles, which alone may be long, are dealt in PARTS; their first set is a guest in all of them.
+    """
+    is_late = F.col("kind").bitwiseAND(F.lit(LATE)) > 0
+    ranked = lists.join(nodes, "dk").select("sig", "dk", "n", "late", "kind", "place", (-F.col("copies")).alias("up"), F.xxhash64("dk").alias("rank"))
+    part = F.when(is_late, F.pmod("rank", F.lit(PARTS)).cast("int")).otherwise(0)
+    rows = ranked.withColumn("part", part)
+    order = ("up", "rank", "dk", "n", "late", "kind", "place")
+    first = ranked.where(is_late).groupBy("sig").agg(F.min(F.struct(*order)).alias("x")).select("sig", "x.*")
+    guests = first.withColumns({"kind": F.col("kind").bitwiseOR(F.lit(GUEST)).cast("byte"), "part": F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))})
+    rows = rows.unionByName(guests).repartition("sig", "part").sortWithinPartitions("sig", "part", "up", "rank", "dk")
+    return rows.select("sig", "part", "dk", "n", "late", "kind", "place").mapInArrow(_meet, MET)
+
+
+def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the nodes' sketches don't rule out.
+
+    Sets of n and m shingles that link differ in at most (n + m) / 9 of them, and so do their sketches.
+    """
+    side = lambda x: nodes.select(F.col("dk").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(k).alias(f"{k}_{x}") for k in PARITIES])
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    return written(both.where((NUM + DEN) * _differ("a", "b", PARITIES) <= F.col("n_a") + F.col("n_b")).select("a", "b"), "pairs")
+
+
+def _differ(x: str, y: str, names: list[str]):
+    return sum((F.bit_count(F.col(f"{k}_{x}").bitwiseXOR(F.col(f"{k}_{y}"))) for k in names), F.lit(0))
+
+
+def _rest(grouped: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs of the members of a list that are in different groups and may link, as may_link() says.
+
+    grouped: sig, kind, place, dk, n, late, comp. Pairs meet by signature and size: a size class reaches from one power of
+    DEN / NUM to the next, and of a pair that links the larger set is in the class of the smaller or in the next one.
+    The sketches are folded in two: half as many bits still differ by no more than the sets.
     """
     several = grouped.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    left = written(grouped.join(several, "sig", "left_semi").join(sketches.select("dk", *PARITIES), "dk"), "rest")
+    half = len(PARITIES) // 2
+    folded = [F.col(x).bitwiseXOR(F.col(y)).alias(x) for x, y in zip(PARITIES[:half], PARITIES[half:], strict=True)]
+    left = written(grouped.join(several, "sig", "left_semi").join(nodes.select("dk", *folded), "dk"), "rest")
     size = F.floor(F.log("n") / F.log(F.lit(DEN / NUM)))
-    side = lambda x, at: left.select("sig", at.alias("at"), *[F.col(c).alias(f"{c}_{x}") for c in ("dk", "n", "late", "comp", "kind", "place", *PARITIES)])
-    one, two = side("one", F.explode(F.array(size, size + 1))), side("two", size)
+    columns = ("dk", "n", "late", "comp", "kind", "place", *PARITIES[:half])
+    side = lambda x, at: left.select("sig", at.alias("at"), *[F.col(c).alias(f"{c}_{x}") for c in columns])
     has = lambda c, bit: F.col(c).bitwiseAND(F.lit(bit)) > 0
+    one = side("one", F.explode(F.array(size, size + 1))).where(has("kind_one", INDEX))
     # one is the smaller set, of equal ones that with the smaller id
     smaller = F.struct("n_one", "dk_one") < F.struct("n_two", "dk_two")
     both = F.col("n_one") + F.col("n_two")
     needed = F.ceil(both * NUM / (NUM + DEN))
     reach = F.least(F.col("n_one") - F.col("place_one"), F.col("n_two") - F.col("place_two"))
-    differ = sum((F.bit_count(F.col(f"{k}_one").bitwiseXOR(F.col(f"{k}_two"))) for k in PARITIES), F.lit(0))
     pairs = (
-        one.where(has("kind_one", INDEX))
-        .join(two, ["sig", "at"])
+        one.join(side("two", size), ["sig", "at"])
         .where(smaller & (DEN * F.col("n_one") >= NUM * F.col("n_two")) & (F.col("comp_one") != F.col("comp_two")))
         .where(~has("kind_one", LATE) | (F.least("late_one", "late_two") >= needed))
         .where(~has("kind_one", LIST) | (reach >= needed))
-        .where((NUM + DEN) * differ <= both)
+        .where((NUM + DEN) * _differ("one", "two", PARITIES[:half]) <= both)
         .select(F.col("dk_one").alias("a"), F.col("dk_two").alias("b"))
     )
-    out = written(pairs.distinct(), "pairs")
+    found = _near(pairs, nodes)
     dropped(left)
-    return out
+    return found
 
 
 def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,21 +426,22 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     documents = table.where("cls IS NOT NULL").select("doc_id", "dk", "th", "cls", "n", *PARITIES)
     reps = documents.groupBy("cls").agg(F.min("dk").alias("rep"), F.count("*").alias("copies"))
     documents = written(documents.join(reps, "cls").drop("cls"), "documents")
-    nodes = documents.where("dk = rep").select("dk", "copies", *PARITIES).dropDuplicates(["dk"])
+    nodes = documents.where("dk = rep").select("dk", "n", "copies", *PARITIES).distinct()
     lists = table.where("cls IS NULL").select("sig", "kind", "place", "dk", "n", "late")
-    members = written(lists.join(nodes.select("dk", "copies"), "dk"), "members")
+    met = written(_met(lists, nodes.select("dk", "copies")), "met")
     dropped(table)
     # 4: groups. A document is linked with the one that stands for its set, in case others share its id
-    links = _verified(written(_stars(members), "pairs"), plain)
+    links = _verified(_near(met.where("a IS NOT NULL").select("a", "b"), nodes), plain)
     own = documents.where("dk <> rep").select(F.col("dk").alias("a"), F.col("rep").alias("b"))
     groups = written(components(links.union(own)), "groups")
     comps = groups.select(F.col("node").alias("dk"), "comp")
-    grouped = members.join(comps, "dk", "left").withColumn("comp", F.coalesce("comp", "dk"))
+    others = met.where("a IS NULL").select("sig", "kind", "place", "dk", "n", "late")
+    grouped = others.join(comps, "dk", "left").withColumn("comp", F.coalesce("comp", "dk"))
     more = _verified(_rest(written(grouped, "grouped"), nodes), plain)
     groups = components(more.union(groups.select("node", "comp"))).select(F.col("node").alias("rep"), "comp")
     labelled = documents.select("doc_id", "dk", "th", "n", "rep").join(groups, "rep", "left")
     labelled = written(labelled.withColumn("comp", F.coalesce("comp", "rep")), "labelled")
-    dropped(members)
+    dropped(met)
     least = labelled.where("n > 0").groupBy("comp").agg(F.min(F.struct("dk", "th")).alias("first"))
     found = labelled.join(least, "comp", "left")
     own = F.when(F.col("n") == 0, F.col("dk")).otherwise(F.col("first.dk"))
