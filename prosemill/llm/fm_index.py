@@ -21,6 +21,27 @@ class BitVector:
         low = self.words[word] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1))
         return self.before[word] + np.bitwise_count(low)
 
+    def previous(self, i: np.ndarray) -> np.ndarray:
+        """The last one at each position or before it; there must be one."""
+        word = i >> 6
+        bits = self.words[word] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(63) - (i & 63).astype(np.uint64)))
+        while (empty := bits == 0).any():
+            word = word - empty
+            bits = np.where(empty, self.words[word], bits)
+        high = bits >> np.uint64(32)
+        half = np.where(high > 0, high, bits & np.uint64(0xFFFFFFFF)).astype(float)
+        return (word << 6) + np.where(high > 0, 31, -1) + np.frexp(half)[1]
+
+    def following(self, i: np.ndarray) -> np.ndarray:
+        """The first one at each position or after it; there must be one."""
+        word = i >> 6
+        bits = self.words[word] & (np.uint64(0xFFFFFFFFFFFFFFFF) << (i & 63).astype(np.uint64))
+        while (empty := bits == 0).any():
+            word = word + empty
+            bits = np.where(empty, self.words[word], bits)
+        lowest = bits & (~bits + np.uint64(1))
+        return (word << 6) + np.bitwise_count(lowest - np.uint64(1))
+
 
 class WaveletTree:
     """The symbols of a sequence, a bit vector for each bit of a symbol; nodes of a level stand side by side."""
@@ -56,11 +77,12 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """An index of a sequence of symbols 0 to sigma - 1 that finds patterns of up to depth + 1 symbols.
+    """A compressed index of a sequence of symbols 0 to sigma - 1 that finds patterns of up to depth + 1 symbols.
 
+    It keeps the wavelet tree of the Burrows-Wheeler transform, the symbols' counts, and a bit for each row: whether it
+    differs from the row before in the first depth symbols. The order of the suffixes is used to build it and let go.
     Suffixes are sorted by their first 32 symbols, more than any such pattern has, so that the rows of a pattern
-    are next to one another; group numbers the rows by their first depth symbols. A symbol less than all others
-    ends the text, so suffixes also has the position after the last one.
+    are next to one another. A symbol less than all others ends the text, so there is a row more than symbols.
     """
 
     def __init__(self, text: np.ndarray, sigma: int, depth: int):
@@ -72,20 +94,18 @@ class FMIndex:
         for length in (1, 2, 4, 8, 16):
             rank = by_length[length]
             by_length[2 * length] = _ranks(rank * (n + sigma + 1) + self._shifted(rank, length))
-        self.suffixes = np.argsort(by_length[32], kind="stable")
+        suffixes = np.argsort(by_length[32], kind="stable")
         rest, more = depth - 16, np.zeros(n, np.int64)
         at = 16
         for length in (8, 4, 2, 1):
             if rest & length:
                 more = _ranks(more * (n + sigma + 1) + self._shifted(by_length[length], at))
                 at += length
-        first, second = by_length[16][self.suffixes], more[self.suffixes]
-        new = np.ones(n, bool)
-        new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-        self.group = np.cumsum(new) - 1
-        self.group_start = np.flatnonzero(new)
-        self.group_end = np.append(self.group_start[1:], n)
-        self.tree = WaveletTree(text[self.suffixes - 1], sigma)
+        first, second = by_length[16][suffixes], more[suffixes]
+        new = np.ones(n + 1, bool)  # the end of the rows counts as a difference
+        new[1:-1] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        self.new = BitVector(new)
+        self.tree = WaveletTree(text[suffixes - 1], sigma)
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))[:-1]]).astype(np.int64)
         self.depth, self.size = depth, n
 
@@ -103,20 +123,18 @@ class FMIndex:
         base = self.smaller[symbol]
         return base + both[: len(symbol)], base + both[len(symbol) :]
 
-    def shorten(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows that agree in depth symbols with the given ones."""
-        g = self.group[low]
-        return self.group_start[g], self.group_end[g]
+    def shorten(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that agree in depth symbols with those from low to high, which agree in more."""
+        return self.new.previous(low), self.new.following(high)
 
 
-def matches(index: FMIndex, patterns: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def matches(index: FMIndex, patterns: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Matching statistics, cut at index.depth, of documents patterns[start:end], each read from its end.
 
-    Returns for each position the length of the longest match that begins there (depth at most) and, where
-    that is depth, the group of its rows (else -1). Symbols unknown to the index are -1; there, and wherever
-    a match can't be extended, the match begins anew.
+    Returns for each position the length of the longest match that begins there (depth at most) and its rows, from
+    and to. Symbols unknown to the index are -1; there, and wherever a match can't be extended, the match begins anew.
     """
-    length, group = np.zeros(len(patterns), np.int64), np.full(len(patterns), -1, np.int64)
+    length, first, last = (np.zeros(len(patterns), np.int64) for _ in range(3))
     lane = np.flatnonzero(ends > starts)
     at = ends[lane] - 1
     low, high, m = np.zeros(len(lane), np.int64), np.full(len(lane), index.size, np.int64), np.zeros(len(lane), np.int64)
@@ -130,15 +148,13 @@ def matches(index: FMIndex, patterns: np.ndarray, starts: np.ndarray, ends: np.n
         m = np.where(lost, m, m + 1)
         over = m > index.depth
         if over.any():
-            a[over], b[over] = index.shorten(a[over])
+            a[over], b[over] = index.shorten(a[over], b[over])
             m[over] = index.depth
-        length[at] = m
-        whole = m == index.depth
-        group[at[whole]] = index.group[a[whole]]
+        length[at], first[at], last[at] = m, a, b
         low, high = a, b
         go = at > starts[lane]
         lane, at, low, high, m = lane[go], at[go] - 1, low[go], high[go], m[go]
-    return length, group
+    return length, first, last
 
 
 def _anew(index: FMIndex, patterns: np.ndarray, at: int, end: int) -> tuple[int, int, int]:

@@ -5,10 +5,14 @@ anchors. Neighbouring windows with the same anchor form a segment. Segments whos
 repeated window. The others are dealt to shards by anchor, so that equal windows meet in one shard. A shard
 builds a compressed FM-index of its distinct segments and streams them through it: backward search over the
 wavelet tree gives matching statistics, and matches of WINDOW words the rows of all equal windows, of which the
-earliest keeps its words. Segments of very frequent anchors have no index: an index needs all of an anchor's segments
-in one shard, which a passage in a great many documents would overfill. They are merged, equal ones to their earliest
-place, by an aggregate with map-side parts; then they are cut into windows, which are merged likewise. As windows are
-equal or not, these two aggregates alone tell which of them begin earlier.
+earliest keeps its words.
+
+Two things keep an anchor that a great many documents have from overfilling its shard. A task sends on of equal
+segments only the earliest that it has met; all windows of the others begin earlier too, by that one. And a segment of
+a heavy anchor is first cut down to windows that occur more than once, then into parts in which the anchor's place in
+the window varies by SPAN at most: all windows of such a part share its 20 - SPAN + 1 middle words, which take the
+place of the anchor. A shard so gets of a passage that stands everywhere a few short parts from each task, and what
+the documents have around it not at all. Shards' indexes treat these parts like any segment.
 """
 
 from __future__ import annotations
@@ -18,31 +22,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.llm.common import (
-    as_bytes, bitmaps, dropped, has_bit, order_id, slices, slot_of, slots, text_key, window_hashes, word_hashes, written,
+    as_bytes, bitmaps, col, dropped, has_bit, order_id, slices, slot_of, slots, text_key, window_hashes, word_hashes, written,
 )
 from prosemill.llm.fm_index import FMIndex, matches
 
 WINDOW, ANCHOR = 20, 6
-#: Bits of the filters: anchors that occur twice, anchors that occur more often than FREQUENT, marked documents.
-BITS = 27
-FREQUENT = 2000
-#: Segments of a shard, equal ones included.
+#: Places of the anchor in the windows of a part of a segment.
+SPAN = 4
+#: Bits of the filters: repeated anchors and windows, heavy anchors, marked documents. They let more through as they fill.
+REPEATED_BITS, HEAVY_BITS, MARKED_BITS = 27, 23, 24
+#: Segments of a shard, equal ones included. An anchor with more than HEAVY is cut into parts.
 SHARD_SEGMENTS = 50_000
+HEAVY = SHARD_SEGMENTS // 10
+#: Digests of segments that a task remembers at once.
+REMEMBERED = 100_000
 
 
-def segments(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and anchor of each segment of a text, from the hashes of its words."""
+def segments(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, anchor and its place for each segment of a text, from the hashes of its words."""
     if len(hashes) < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     runs = window_hashes(hashes, ANCHOR)
     near = np.lib.stride_tricks.sliding_window_view(runs, WINDOW - ANCHOR + 1)
     anchor = near.argmin(1) + np.arange(len(near))
     first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-    return first, np.diff(np.append(first, len(anchor))), runs[anchor[first]]
+    return first, np.diff(np.append(first, len(anchor))), runs[anchor[first]], anchor[first]
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,37 +60,118 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["anchor"])
 
 
-SEGMENTS = "key long, often boolean, dk long, th long, start int, windows int, words binary"
+MARKS = "array<struct<start:int,windows:int,mask:binary>>"
+#: A segment or a part of one (words, place of the first window and of the anchor in it), or the marks of one or of several.
+SEGMENTS = f"key long, heavy boolean, dk long, th long, start int, windows int, offset int, words binary, marks {MARKS}"
+NAMES = ["key", "heavy", "dk", "th", "start", "windows", "offset", "words", "marks"]
+MARK_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("windows", pa.int32()), ("mask", pa.binary())]))
+KINDS = [pa.int64(), pa.bool_(), *[pa.int64()] * 2, *[pa.int32()] * 3, pa.binary(), MARK_TYPE]
 
 
-def _segments(plain: DataFrame, repeated, frequent) -> DataFrame:
-    """SEGMENTS whose anchors are repeated. key: the anchor; often: it is frequent."""
-    names = [x.split()[0] for x in SEGMENTS.split(", ")]
+class Merger:
+    """Lets of equal segments only the first through that it is shown, and ones at earlier places than those before.
+
+    All windows of the others begin earlier too; they become marks. It forgets now and then, which only lets more through.
+    """
+
+    def __init__(self) -> None:
+        self.first: dict[bytes, tuple] = {}
+
+    def known(self, text: bytes, place: tuple) -> bool:
+        """Whether equal words were let through from an earlier place."""
+        if len(self.first) >= REMEMBERED:
+            self.first.clear()
+        digest = xxhash.xxh3_128_digest(text)
+        if self.first.get(digest, place) < place:
+            return True
+        self.first[digest] = place
+        return False
+
+
+def _rows(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(found), 20_000):
+        columns = zip(*found[i : i + 20_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, KINDS, strict=True)], NAMES)
+
+
+def _marks(dk: int, th: int, later: list[tuple[int, int]]) -> list[tuple]:
+    """A row with marks of whole segments, if there are any."""
+    marks = [{"start": s, "windows": n, "mask": None} for s, n in later]
+    return [(None, None, dk, th, None, None, None, None, marks)] * bool(later)
+
+
+def _segments(plain: DataFrame, repeated, heavy) -> DataFrame:
+    """SEGMENTS whose anchors are repeated. key: the anchor; heavy: it is heavy; marks: of those equal to an earlier one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice, often = np.frombuffer(repeated.value, np.uint8), np.frombuffer(frequent.value, np.uint8)
+        twice, often, merger = np.frombuffer(repeated.value, np.uint8), np.frombuffer(heavy.value, np.uint8), Merger()
         for batch in slices(batches):
             out: list[tuple] = []
             for dk, th, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
                 words = raw.split()
-                first, n, anchors = segments(word_hashes(words))
-                place, keys = slots(anchors, BITS), anchors.view(np.int64)
-                some = np.flatnonzero(has_bit(twice, place))
-                if not len(some):
-                    continue
-                frequent_ones = has_bit(often, place[some]).tolist()
-                for k, many in zip(some.tolist(), frequent_ones, strict=True):
+                first, n, anchors, at = segments(word_hashes(words))
+                some = np.flatnonzero(has_bit(twice, slots(anchors, REPEATED_BITS)))
+                many, keys, later = has_bit(often, slots(anchors[some], HEAVY_BITS)).tolist(), anchors.view(np.int64), []
+                for k, is_heavy in zip(some.tolist(), many, strict=True):
                     start, windows = int(first[k]), int(n[k])
                     text = b" ".join(words[start : start + windows + WINDOW - 1])
-                    out.append((int(keys[k]), many, dk, th, start, windows, text))
-            for i in range(0, len(out), 20_000):
-                columns = zip(*out[i : i + 20_000], strict=True)
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+                    if merger.known(text, (dk, th, start)):
+                        later.append((start, windows))
+                    else:
+                        out.append((int(keys[k]), is_heavy, dk, th, start, windows, int(at[k]) - start, text, None))
+                out += _marks(dk, th, later)
+            yield from _rows(out)
 
     return plain.select("dk", "th", "text").mapInArrow(run, SEGMENTS)
 
 
+def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        found = [window_hashes(word_hashes(raw.split(b" ")), WINDOW) for raw in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], ["hash"])
+
+
+def parts(hashes: np.ndarray, again: np.ndarray, offset: int) -> list[tuple[int, int, int]]:
+    """Runs of the windows of a segment that again marks, cut where the anchor's place changes its class.
+
+    hashes: of the segment's words; offset: the anchor's place in the first window. Gives first window, number of
+    windows and a hash of the words that all windows of this class have.
+    """
+    place = offset - np.arange(len(again))
+    kind = np.where(again, place // SPAN, -1)
+    first = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+    out = []
+    for s, e in zip(first.tolist(), [*first[1:].tolist(), len(kind)], strict=True):
+        if kind[s] >= 0:
+            begin = offset - int(kind[s]) * SPAN - (SPAN - 1)  # the window with the anchor at the class's last place
+            middle = hashes[max(0, begin + SPAN - 1) : begin + WINDOW]
+            out.append((s, e - s, xxhash.xxh3_64_intdigest(middle.tobytes(), int(kind[s]))))
+    return out
+
+
+def _parts(found: DataFrame, repeated) -> DataFrame:
+    """SEGMENTS: the parts of heavy anchors' segments that hold windows which occur more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice, merger = np.frombuffer(repeated.value, np.uint8), Merger()
+        for batch in slices(batches):
+            out: list[tuple] = []
+            for dk, th, start, offset, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                words = raw.split(b" ")
+                hashes, later = word_hashes(words), []
+                again = has_bit(twice, slots(window_hashes(hashes, WINDOW), REPEATED_BITS))
+                for s, n, key in parts(hashes, again, offset):
+                    text = b" ".join(words[s : s + n + WINDOW - 1])
+                    if merger.known(text, (dk, th, start + s)):
+                        later.append((start + s, n))
+                    else:
+                        out.append((key - (1 << 63), False, dk, th, start + s, n, None, text, None))
+                out += _marks(dk, th, later)
+            yield from _rows(out)
+
+    return found.select("dk", "th", "start", "offset", "words").mapInArrow(run, SEGMENTS)
+
+
 def repeats(texts: list[bytes], place: list[np.ndarray]) -> list[np.ndarray]:
     """For each window of each segment, whether the same words also begin earlier in these segments.
 
@@ -97,7 +187,7 @@ def repeats(texts: list[bytes], place: list[np.ndarray]) -> list[np.ndarray]:
     inside[ends] = False
     text[inside] = np.fromiter((w for r in rows for w in r), np.int64, int(sizes.sum()))
     index = FMIndex(text, len(known) + 1, WINDOW)
-    _, group = matches(index, text, starts, ends)
+    length, rows_from, _ = matches(index, text, starts, ends)
     owner = np.repeat(np.arange(len(rows)), sizes + 1)
     offset = np.arange(len(text)) - starts[owner]
     dk, th, start = place
@@ -106,16 +196,17 @@ def repeats(texts: list[bytes], place: list[np.ndarray]) -> list[np.ndarray]:
     d, t, a = dk[owner][order], th[owner][order], at[order]
     rank = np.empty(len(text), np.int64)
     rank[order] = np.concatenate([[0], np.cumsum((d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (a[1:] != a[:-1]))])
-    earliest = np.minimum.reduceat(np.append(rank, len(rank))[index.suffixes], index.group_start)
-    again = (group >= 0) & (rank > earliest[group])
+    # the index has these texts themselves, so each place of a window is among those that find its rows
+    whole = np.flatnonzero(length == WINDOW)
+    earliest = np.full(index.size, len(rank))
+    np.minimum.at(earliest, rows_from[whole], rank[whole])
+    again = np.zeros(len(text), bool)
+    again[whole] = rank[whole] > earliest[rows_from[whole]]
     return [again[s : e - WINDOW + 1] for s, e in zip(starts, ends, strict=True)]
 
 
-MARKS = "dk long, th long, start int, windows int, mask binary"
-
-
 def _shard(table: pa.Table) -> pa.Table:
-    """MARKS of a shard's segments that hold repeated windows. Equal segments are searched for once."""
+    """Marks of a shard's segments that hold repeated windows. Equal segments are searched for once."""
     words = table.column("words").to_pylist()
     place = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("dk", "th", "start")])
     order = np.lexsort(place[::-1])  # the earliest of equal segments comes first
@@ -133,44 +224,16 @@ def _shard(table: pa.Table) -> pa.Table:
     same = np.flatnonzero((place == place[:, [first[w] for w in words]]).all(0))
     for k in same.tolist():
         masks[k], kept[k] = masks[first[words[k]]], kept[first[words[k]]]
-    columns = [table.column(c) for c in ("dk", "th", "start", "windows")]
-    return pa.table([*columns, pa.array(masks, pa.binary())], names=["dk", "th", "start", "windows", "mask"]).filter(pa.array(kept))
+    windows = table.column("windows").to_pylist()
+    rows = [k for k in range(len(words)) if kept[k]]
+    marks = [[{"start": int(place[2, k]), "windows": windows[k], "mask": masks[k]}] for k in rows]
+    return pa.table([pa.array(place[0, rows]), pa.array(place[1, rows]), pa.array(marks, MARK_TYPE)], names=["dk", "th", "marks"])
 
 
 def _sharded(found: DataFrame, rows: int) -> DataFrame:
+    """dk, th, marks of the segments in found, by indexes of shards."""
     shard = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-rows // SHARD_SEGMENTS)))).cast("int").alias("shard")
-    return found.select(shard, "dk", "th", "start", "windows", "words").groupBy("shard").applyInArrow(_shard, MARKS)
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of segments, keyed by their own hash."""
-    names = ["key", "dk", "th", "start", "words"]
-    for batch in slices(batches):
-        out: list[tuple] = []
-        for dk, th, start, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            words = raw.split(b" ")
-            keys = window_hashes(word_hashes(words), WINDOW).view(np.int64).tolist()
-            out += [(key, dk, th, start + i, b" ".join(words[i : i + WINDOW])) for i, key in enumerate(keys)]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        columns = zip(*out, strict=True) if out else [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
-
-
-def _merged(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """The distinct words of found with their earliest place; MARKS of the rows of found that stand elsewhere."""
-    first = F.min(F.struct("dk", "th", "start", "windows")).alias("first")
-    distinct = written(found.groupBy("key", "words").agg(first), name)
-    own = F.struct("dk", "th", "start") == F.struct("first.dk", "first.th", "first.start")
-    later = found.join(distinct, ["key", "words"]).where(~own)
-    return distinct.select("key", "words", "first.*"), later.select("dk", "th", "start", "windows", F.lit(None).cast("binary").alias("mask"))
-
-
-def _frequent(found: DataFrame) -> DataFrame:
-    """MARKS of segments of which one may be in a great many documents, by aggregates only."""
-    distinct, later = _merged(found, "frequent-segments")
-    cut = distinct.select("dk", "th", "start", "words").mapInArrow(_cut, "key long, dk long, th long, start int, words binary")
-    _, again = _merged(written(cut.withColumn("windows", F.lit(1)), "cut"), "frequent-windows")
-    return later.union(again)
+    return found.select(shard, "dk", "th", "start", "windows", "words").groupBy("shard").applyInArrow(_shard, f"dk long, th long, marks {MARKS}")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -178,17 +241,30 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
     docs: dk, th, text. Documents are ordered by dk, then th.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     counts = docs.select("text").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n"))
-    known = bitmaps(counts, slot_of("anchor"), BITS, repeated=F.col("n") > 1, frequent=F.col("n") > FREQUENT)
-    repeated, frequent = (spark.sparkContext.broadcast(known[k]) for k in ("repeated", "frequent"))
-    found = written(_segments(docs, repeated, frequent), "segments")
-    n = {r["often"]: r["n"] for r in found.groupBy("often").agg(F.count("*").alias("n")).collect()}
-    marks = _sharded(found.where("NOT often"), n.get(False, 0))
-    if n.get(True):
-        marks = marks.union(_frequent(found.where("often")))
-    out = written(marks.groupBy("dk", "th").agg(F.collect_list(F.struct("start", "windows", "mask")).alias("marks")), "marks")
-    dropped(found)
+    # the smaller bitmap's slots are the larger one's lower bits
+    known = bitmaps(counts, slot_of("anchor"), REPEATED_BITS, repeated=F.col("n") > 1, heavy=F.col("n") > HEAVY)
+    often = np.bitwise_or.reduce(np.frombuffer(known["heavy"], np.uint8).reshape(-1, (1 << HEAVY_BITS) // 8), 0).tobytes()
+    repeated, heavy = context.broadcast(known["repeated"]), context.broadcast(often)
+    found = written(_segments(docs, repeated, heavy), "segments")
+    repeated.destroy(), heavy.destroy()
+    rows = {r["heavy"]: r["n"] for r in found.groupBy("heavy").agg(F.count("*").alias("n")).collect()}
+    tables, dealt, n = [found], found.where("heavy = false"), rows.get(False, 0)
+    if rows.get(True):  # windows that occur more than once, and the parts of segments that have them
+        cut = found.where("heavy")
+        counts = cut.select("words").mapInArrow(_window_hashes, "hash long").groupBy("hash").agg(F.count("*").alias("n"))
+        windows = context.broadcast(bitmaps(counts, slot_of("hash"), REPEATED_BITS, repeated=F.col("n") > 1)["repeated"])
+        cut = written(_parts(cut, windows), "parts")
+        windows.destroy()
+        tables.append(cut)
+        dealt = dealt.union(cut.where("words IS NOT NULL"))
+        n += cut.where("words IS NOT NULL").count()
+    marks = _sharded(dealt, n)
+    for table in tables:
+        marks = marks.union(table.where("marks IS NOT NULL").select("dk", "th", "marks"))
+    out = written(marks.groupBy("dk", "th").agg(F.flatten(F.collect_list("marks")).alias("marks")), "marks")
+    dropped(*tables)
     return out
 
 
@@ -213,19 +289,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     plain = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), order_id(id_col).alias("dk"), text_key(text_col).alias("th"),
-        F.col(text_col).cast("string").alias("text"),
+        col(id_col).cast("long").alias("doc_id"), order_id(id_col).alias("dk"), text_key(text_col).alias("th"),
+        col(text_col).cast("string").alias("text"),
     )
     marks = repeated_windows(plain.select("dk", "th", "text"))
     place = F.xxhash64("dk", "th")
-    marked = spark.sparkContext.broadcast(bitmaps(marks, slot_of(place), BITS - 3, marked=F.lit(True))["marked"])
+    marked = spark.sparkContext.broadcast(bitmaps(marks, slot_of(place), MARKED_BITS, marked=F.lit(True))["marked"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Results of documents without marks; the texts of the others stay."""
         bits = np.frombuffer(marked.value, np.uint8)
         for batch in slices(batches):
             places = batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
-            stays = has_bit(bits, slots(places, BITS - 3))
+            stays = has_bit(bits, slots(places, MARKED_BITS))
             words = [x.split() for x in as_bytes(batch.column(3))]
             hashes = [None if s else hashlib.sha256(b" ".join(w)).hexdigest() for s, w in zip(stays, words, strict=True)]
             texts = [b" ".join(w) if s else None for s, w in zip(stays, words, strict=True)]

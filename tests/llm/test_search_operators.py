@@ -29,13 +29,23 @@ def test_index_counts_like_a_scan():
             low, high = index.extend(np.array([c]), low, high)
         assert high[0] - low[0] == count(p)
     pattern = np.array([1, 2, -1, 3, 1, 1, 2, 3, 2, 1, 2, 2])
-    length, _ = fm_index.matches(index, pattern, np.array([0, 3]), np.array([3, 12]))
+    length, low, high = fm_index.matches(index, pattern, np.array([0, 3]), np.array([3, 12]))
     for a, b in ((0, 3), (3, 12)):
         for i in range(a, b):
             m = 0
             while i + m < b and m < 20 and pattern[i + m] >= 0 and count(pattern[i : i + m + 1]):
                 m += 1
-            assert length[i] == m
+            assert length[i] == m and (m == 0 or high[i] - low[i] == count(pattern[i : i + m]))
+
+
+def test_bits_are_found_both_ways():
+    rng = np.random.default_rng(1)
+    bits = rng.random(1000) < 0.02
+    bits[[0, 999]] = True
+    vector, ones, at = fm_index.BitVector(bits), np.flatnonzero(bits), np.arange(1000)
+    assert (vector.rank(at) == np.searchsorted(ones, at)).all()
+    assert (vector.previous(at) == ones[np.searchsorted(ones, at, side="right") - 1]).all()
+    assert (vector.following(at) == ones[np.searchsorted(ones, at)]).all()
 
 
 def removed(rows):
@@ -52,10 +62,11 @@ def removed(rows):
     return {i: (len(w), len(g), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in g).encode()).hexdigest()) for i, w, g in spots}
 
 
-@pytest.mark.parametrize(("frequent", "segments"), [(2000, 50_000), (1, 7), (3, 40)])
-def test_substring_dedup(spark, monkeypatch, frequent, segments):
-    monkeypatch.setattr(substring_dedup, "FREQUENT", frequent)
+@pytest.mark.parametrize(("heavy", "segments", "remembered"), [(2000, 50_000, 100_000), (1, 7, 3), (3, 40, 100_000)])
+def test_substring_dedup(spark, monkeypatch, heavy, segments, remembered):
+    monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
     monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", segments)
+    monkeypatch.setattr(substring_dedup, "REMEMBERED", remembered)
     rows = edge.unique()
     found = substring_dedup.substring_dedup(spark.createDataFrame(rows, edge.SCHEMA).repartition(3)).collect()
     wanted = removed(rows)
@@ -63,15 +74,48 @@ def test_substring_dedup(spark, monkeypatch, frequent, segments):
     assert all(r["n_removed"] == sum(s["to"] - s["from"] for s in r["spans"]) for r in found) and sum(r["n_removed"] for r in found) > 500
 
 
-def test_frequent_anchors_have_no_index(spark, monkeypatch):
-    """Their windows are merged already, so that an index could find nothing."""
-    built, sharded = [], substring_dedup._sharded
-    monkeypatch.setattr(substring_dedup, "_sharded", lambda found, rows: built.append(rows) or sharded(found, rows))
-    monkeypatch.setattr(substring_dedup, "FREQUENT", 1)
-    rows = edge.unique()
-    found = substring_dedup.substring_dedup(spark.createDataFrame(rows, edge.SCHEMA)).collect()
-    assert built == [0]  # the one of the other anchors
-    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found} == removed(rows)
+def test_equal_windows_meet_in_one_part():
+    """Whatever stands around them; and windows of a part share the words of its key."""
+    rng = np.random.default_rng(4)
+    shared = rng.integers(1, 1 << 60, 26).astype(np.uint64)
+    keys = []
+    for _ in range(6):
+        words = np.concatenate([rng.integers(1, 1 << 60, 25).astype(np.uint64), shared, rng.integers(1, 1 << 60, 25).astype(np.uint64)])
+        of = {}
+        for start, n, _, at in zip(*substring_dedup.segments(words), strict=True):
+            inside = words[start : start + n + 19]
+            for s, m, key in substring_dedup.parts(inside, np.ones(n, bool), at - start):
+                assert m <= substring_dedup.SPAN
+                of |= {start + s + k: key for k in range(m)}
+        assert sorted(of) == list(range(len(words) - 19))
+        keys.append([of[25 + k] for k in range(7)])
+    assert all(k == keys[0] for k in keys)
+
+
+def test_the_index_decides(spark, monkeypatch):
+    """Documents with different words around a short passage have no equal segments: only the index finds what they share."""
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(21)]
+    rows = [(i, " ".join([f"a{i}.{k}" for k in range(rng.randrange(5, 30))] + passage + [f"b{i}.{k}" for k in range(9)])) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    find = lambda: {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(docs).collect()}
+    wanted = {i: n for i, (_, n, _) in removed(rows).items()}
+    assert find() == wanted and sum(wanted.values()) == 8 * 21
+    monkeypatch.setattr(substring_dedup, "HEAVY", 1)
+    assert find() == wanted
+    # without the index nothing is left to find it
+    words = [t.split() for _, t in rows]
+    found = [substring_dedup.segments(common.word_hashes([w.encode() for w in x])) for x in words]
+    texts, place = [], []
+    for i, (x, (first, n, _, _)) in enumerate(zip(words, found, strict=True)):
+        for s, m in zip(first.tolist(), n.tolist(), strict=True):
+            texts.append(" ".join(x[s : s + m + 19]).encode())
+            place.append((i, 0, s))
+    assert len(set(texts)) == len(texts)
+    columns = [np.array(c) for c in zip(*place, strict=True)]
+    assert sum(a.sum() for a in substring_dedup.repeats(texts, columns)) == 8 * 2
+    monkeypatch.setattr(substring_dedup, "matches", lambda index, text, *_: (np.zeros(len(text), int),) * 3)
+    assert sum(a.sum() for a in substring_dedup.repeats(texts, columns)) == 0
 
 
 def test_substring_dedup_takes_nulls_and_nothing(spark):
