@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import as_bytes, bitmaps, has_bit, slices, written
+from prosemill.llm.common import bitmaps, col, has_bit, slices, written
 
 #: Bits of the filter that finds the documents in buckets of several (2 MB); a full one only costs time.
 FILTER_BITS = 24
@@ -68,7 +68,7 @@ def _differing(docs: DataFrame, text_col: str, digests: DataFrame) -> DataFrame:
                 ["digest", "form"],
             )
 
-    forms = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "digest string, form binary")
+    forms = docs.select(col(text_col).cast("string").alias("text")).mapInArrow(run, "digest string, form binary")
     by_bytes = forms.groupBy("digest").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a <> b")
     return by_bytes.select("digest").union(counts.where("a <> b").select("digest")).distinct()
 
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = [batch.column(0), pa.array([digest(x) for x in forms], pa.string()), pa.array([proof(x) for x in forms], pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "proof"])
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     found = written(plain.mapInArrow(run, "doc_id long, digest string, proof string"), "digests")
     differing = _differing(plain, "text", found.select("digest", "proof")).withColumn("differs", F.lit(True))
     return found.join(differing, "digest", "left").select("doc_id", _named("digest", "proof", "differs").alias("fingerprint"))
@@ -143,7 +143,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of a range meet those of its neighbours.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").asc()]
     dealt = plain.repartitionByRange(*order).sortWithinPartitions(*order)
     walked = written(dealt.mapInArrow(_walk, EDITS), "edits")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import order_id, text_key, written
+from prosemill.llm.common import col, columns_of, order_id, text_key, unused, written
 
 #: Sites from which on a line is boilerplate; so far from it (as a share) an estimate needs no exact count.
 MIN_SITES, NEAR = 10, 0.35
@@ -23,11 +23,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFr
     """A row for each line with a word: a 128-bit hash, site, document and position."""
     line = F.col("line")
     # sketches pass over empty strings, so a site's name gets a letter in front
-    site = F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("n"))
+    site = F.coalesce(F.concat(F.lit("s"), col(site_col).cast("string")), F.lit("n"))
     return (
         docs.select(
             order_id(id_col).alias("dk"), text_key(text_col).alias("th"), site.alias("site"),
-            F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("pos", "line"),
+            F.posexplode(F.split(F.coalesce(col(text_col), F.lit("")), "\n", -1)).alias("pos", "line"),
         )
         .where(line.rlike("[^ \\t-\\r]"))
         .select(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(SECOND_SEED), line).alias("h2"), "site", "dk", "th", "pos")
@@ -59,28 +59,21 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR
     )
 
 
-def _marked(
-    docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sites: int
-) -> tuple[DataFrame, Column, Column]:
-    """docs with the positions of the lines that go; all lines and the lines that stay, as columns."""
+def _marked(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sites: int) -> tuple[DataFrame, Column, Column, Column]:
+    """docs with the positions of the lines that go; that column, all lines, and the lines that stay."""
+    dk, th, gone_at = unused(docs, "line_id", "line_text", "line_gone")
     lines = _lines(docs, id_col, text_col, site_col)
     found = written(boilerplate(lines, min_sites), "boilerplate")
     gone = (
         lines.join(found, ["h1", "h2"])
         .where(F.struct("dk", "th", "pos") != F.col("first"))
-        .select(F.col("dk").alias("__dk"), F.col("th").alias("__th"), F.col("pos").alias("__pos"))
-        .distinct()
-        .groupBy("__dk", "__th")
-        .agg(F.collect_list("__pos").alias("__gone"))
+        .groupBy(F.col("dk").alias(dk), F.col("th").alias(th))
+        .agg(F.collect_set("pos").alias(gone_at))  # as many as the text has lines
     )
-    out = (
-        docs.withColumn("__dk", order_id(id_col))
-        .withColumn("__th", text_key(text_col))
-        .join(gone, ["__dk", "__th"], "left")
-    )
-    every = F.split(F.col(text_col), "\n", -1)
-    stays = F.filter(every, lambda _, i: ~F.array_contains("__gone", i))
-    return out, every, F.when(F.col("__gone").isNull(), every).otherwise(stays)
+    out = docs.withColumns({dk: order_id(id_col), th: text_key(text_col)}).join(gone, [dk, th], "left")
+    every = F.split(col(text_col), "\n", -1)
+    stays = F.filter(every, lambda _, i: ~F.array_contains(gone_at, i))
+    return out, F.col(gone_at), every, F.when(F.col(gone_at).isNull(), every).otherwise(stays)
 
 
 def line_dedup(
@@ -90,28 +83,30 @@ def line_dedup(
 
     Lines are what stands between line feeds; a line without a word is never removed. A null site is a site
     of its own. A null text has no lines and stays null; so does a null id, which counts as the smallest.
-    Repeated rows (same id and text) are one occurrence and lose the same lines.
+    Repeated rows (same id and text) are one occurrence and lose the same lines. Without rows there are none.
     """
-    marked, every, stays = _marked(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(site_col).alias("source")
-    ), "doc_id", "text", "source", min_sites)
+    plain = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), col(site_col).alias("source"))
+    marked, gone, every, stays = _marked(plain, "doc_id", "text", "source", min_sites)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(every))
-    removed = F.coalesce(F.size(F.col("__gone")), F.lit(0))
     return marked.select(
-        F.col("doc_id").cast("long"), n.cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"),
-        F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")).alias("kept_text"),
+        F.col("doc_id").cast("long"), n.cast("long").alias("n_lines"), F.when(gone.isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"),
+        F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")).alias("kept_text"),
     )
 
 
 def drop_boilerplate(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES
 ) -> DataFrame:
-    """docs, with all their columns, without boilerplate lines. Texts that lose their last word go."""
-    marked, _, stays = _marked(docs, id_col, text_col, site_col, min_sites)
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))
-    emptied = F.col("__gone").isNotNull() & ~F.col(text_col).rlike("[^ \\t-\\r]")
-    return marked.withColumn(text_col, text).where(~emptied).select(*docs.columns)
+    """docs, with all their columns, whatever their names, without boilerplate lines.
+
+    Texts that lose their last word go; null and empty texts, which have none to lose, stay as they are. Nulls, repeated
+    rows and empty tables are as in line_dedup().
+    """
+    marked, gone, _, stays = _marked(docs, id_col, text_col, site_col, min_sites)
+    left = F.when(gone.isNull(), col(text_col)).otherwise(F.array_join(stays, "\n"))
+    emptied = gone.isNotNull() & ~left.rlike("[^ \\t-\\r]")
+    kept = [left.alias(c) if c == text_col else col(c) for c in docs.columns]
+    return marked.where(~emptied).select(*kept)
 
 
 ORACLE = f"""

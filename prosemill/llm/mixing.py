@@ -20,12 +20,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import text_key, written
+from prosemill.llm.common import col, columns_of, text_key, unused, written
 
 #: Rows of the labelled table that the classifier learns from at most, by a hash of their id.
 MOST_LABELS = 10_000
 #: Words that speak for a domain, as many for each domain but the largest.
 MOST_WORDS = 20
+#: Profiles that the driver fits rates to at most; more are an error. Three domains can have 61,440 by their bins.
+MOST_PROFILES = 500_000
 #: Bin limits of the features that every model has, in the order of _values.
 LIMITS = {
     "symbols": (0.005, 0.02, 0.05), "exclamations": (0.002, 0.01, 0.03), "capitals": (0.05, 0.15, 0.4), "bars": (0.002, 0.01),
@@ -73,19 +75,14 @@ class Mixer:
         return LIMITS | {f"told {d}": TOLD for d in self.words}
 
     def profile(self, text: Column) -> Column:
-        """The bins of the features of a text as one number; there are as many numbers as the bins allow."""
-        out, text = F.lit(0), F.coalesce(text, F.lit(""))
-        for name, v in _values(text, self.words).items():
-            out = out * (len(self.limits[name]) + 1) + reduce(lambda c, x: c + (v >= x).cast("int"), self.limits[name], F.lit(0))  # noqa: B023
-        return out
+        """The bins of the features of a text, a digit for each; there are as many profiles as the bins allow."""
+        text = F.coalesce(text, F.lit(""))
+        found = _values(text, self.words)
+        return F.concat(*[reduce(lambda c, x: c + (v >= x).cast("int"), self.limits[k], F.lit(0)).cast("string") for k, v in found.items()])  # noqa: B023
 
     def bins(self, profile: Column) -> Column:
-        """The bins, as an array, of the number that profile() made."""
-        out = []
-        for limits in reversed(self.limits.values()):
-            out.append(F.pmod(profile, F.lit(len(limits) + 1)).cast("int"))
-            profile = F.floor(profile / (len(limits) + 1))
-        return F.array(*reversed(out))
+        """The bins, as an array, of what profile() made."""
+        return F.array(*[F.substring(profile, k, 1).cast("int") for k in range(1, len(self.limits) + 1)])
 
     def posterior(self, bins: Column) -> Column:
         """An array of the domains' probabilities; bins should be a plain column, as it is used often."""
@@ -143,7 +140,7 @@ def telling_words(labelled: DataFrame, most: int = MOST_WORDS) -> dict[str, list
 
 
 def fit_posterior(labelled: DataFrame, domains: list[str]) -> Mixer:
-    """Naive Bayes over the binned features. labelled: domain, text.
+    """Naive Bayes over the binned features. labelled: domain, text; a null text is the empty one, repeated rows count each.
 
     Without rows all domains are alike. With some, a domain that has none gets no share of any text: smoothing
     alone would give it texts that are merely rare.
@@ -166,7 +163,9 @@ def fit_posterior(labelled: DataFrame, domains: list[str]) -> Mixer:
     return replace(mixer, prior=prior, logs=logs, labelled=n > 0)
 
 
-def fit_rates(profiles: DataFrame, mixer: Mixer, weights: list[float], total: float | None, most_rate: float) -> Mixer:
+def fit_rates(
+    profiles: DataFrame, mixer: Mixer, weights: list[float], total: float | None, most_rate: float, most_profiles: int = MOST_PROFILES
+) -> Mixer:
     """mixer with the steps of the projected gradient. profiles: p (posteriors), tokens.
 
     Minimises the sum over domains of the squared miss of their expected tokens, each over its tokens at rate 1, over
@@ -174,7 +173,10 @@ def fit_rates(profiles: DataFrame, mixer: Mixer, weights: list[float], total: fl
     hasn't as much is only an upper bound, and all it has its target. residuals: expected tokens over the share of the
     total, less 1 (of a domain with weight 0, over the total).
     """
-    rows = sorted((tuple(r["p"]), float(r["tokens"])) for r in profiles.select("p", "tokens").collect())
+    taken = profiles.select("p", "tokens").limit(most_profiles + 1).collect()
+    if len(taken) > most_profiles:
+        raise ValueError(f"more than {most_profiles} profiles: so many domains need fewer bins, or a larger most_profiles")
+    rows = sorted((tuple(r["p"]), float(r["tokens"])) for r in taken)
     p, tokens = np.array([r[0] for r in rows]).reshape(-1, len(weights)), np.array([r[1] for r in rows])
     mass, share = tokens @ p, np.array(weights)
     if total is None:  # all of the domain with the largest weight; of equal ones, of that with the most tokens
@@ -213,20 +215,28 @@ class Mixture:
         return dict(zip(self.mixer.domains, self.mixer.residuals, strict=False))
 
     def table(self) -> DataFrame:
-        """doc_id, n_tokens, p_<domain>, rate, copies for each document."""
+        """doc_id, n_tokens, p_<domain>, rate, copies for each document.
+
+        An empty or null text has one empty token; a null id stays null. Repeated rows get the same decision. What is
+        broadcast are the rates, MOST_PROFILES rows at most.
+        """
         rows = self.documents.join(F.broadcast(self.rates), "profile")
         shares = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(self.mixer.domains)]
         return rows.select("doc_id", "n_tokens", *shares, "rate", copies_of(F.col("rate"), F.col("doc_id"), F.col("th")).alias("copies"))
 
     def apply(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """The rows of docs, with all their columns, as often as the mixture takes them."""
-        rates = self.rates.select(F.col("profile").alias("__profile"), F.col("rate").alias("__rate"))
-        rows = docs.withColumn("__profile", self.mixer.profile(F.col(text_col))).join(F.broadcast(rates), "__profile")
-        copies = copies_of(F.col("__rate"), F.col(id_col).cast("long"), text_key(text_col))
+        """The rows of docs, with all their columns, whatever their names, as often as the mixture takes them.
+
+        docs: those that the mixture was fitted to. Nulls and repeated rows are as in table().
+        """
+        profile, rate, copy = unused(docs, "mix_profile", "mix_rate", "mix_copy")
+        rates = self.rates.select(F.col("profile").alias(profile), F.col("rate").alias(rate))
+        rows = docs.withColumn(profile, self.mixer.profile(col(text_col))).join(F.broadcast(rates), profile)
+        copies = copies_of(F.col(rate), col(id_col).cast("long"), text_key(text_col))
         if self.mixer.most_rate > 1:
-            rows = rows.withColumn("__copy", F.explode(F.when(copies >= 1, F.sequence(F.lit(1), copies.cast("int")))))
-            return rows.select(*docs.columns)
-        return rows.where(copies >= 1).select(*docs.columns)
+            rows = rows.withColumn(copy, F.explode(F.when(copies >= 1, F.sequence(F.lit(1), copies.cast("int")))))
+            return rows.select(*columns_of(docs))
+        return rows.where(copies >= 1).select(*columns_of(docs))
 
 
 def fit_mixture(
@@ -245,12 +255,12 @@ def fit_mixture(
     domains = sorted(weights)
     share = [weights[d] / sum(weights.values()) for d in domains]
     chosen = (
-        labelled.where(F.col(id_col).isNotNull() & F.col(domain_col).isin(domains))
-        .select(F.col(id_col).cast("long").alias("doc_id"), F.col(domain_col).alias("domain"))
+        labelled.where(col(id_col).isNotNull() & col(domain_col).isin(domains))
+        .select(col(id_col).cast("long").alias("doc_id"), col(domain_col).alias("domain"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "domain")
         .limit(most_labels)
     )
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    plain = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     learnt = written(plain.join(F.broadcast(chosen), "doc_id").select("domain", "text"), "mixing-labels")
     mixer = fit_posterior(learnt, domains)
     documents = written(
@@ -261,7 +271,7 @@ def fit_mixture(
         "mixing-documents",
     )
     bins = documents.groupBy("profile").agg(F.sum("n_tokens").alias("tokens")).withColumn("bins", mixer.bins(F.col("profile")))
-    rows = written(bins.select("profile", mixer.posterior(F.col("bins")).alias("p"), "tokens").coalesce(1), "mixing-profiles")
+    rows = written(bins.select("profile", mixer.posterior(F.col("bins")).alias("p"), "tokens"), "mixing-profiles")
     if any(w == max(share) and x > -math.inf for w, x in zip(share, mixer.prior, strict=True)) and mixer.labelled:
         mixer = fit_rates(rows, mixer, share, total, most_rate)
     else:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import mixed, slices
+from prosemill.llm.common import col, mixed, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -487,7 +487,7 @@ def sample_encodings(
                 a = b
 
     plain = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-        F.xxhash64(F.col(id_col).cast("long"), F.lit(seed)).alias("seed"),
+        col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"),
+        F.xxhash64(col(id_col).cast("long"), F.lit(seed)).alias("seed"),
     )
     return plain.mapInArrow(run, SCHEMA)

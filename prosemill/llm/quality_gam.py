@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import as_bytes, slices
+from prosemill.llm.common import as_bytes, col, slices, text_key
 
 FEATURES = (
     "log_bytes", "log_words", "upper", "symbols", "exclamations", "digits", "stops", "commas", "bars", "wide",
@@ -166,13 +166,15 @@ def fit_gam(
 
 
 def _featured(plain: DataFrame) -> DataFrame:
+    """label, rank and features of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in slices(batches):
             x = pa.array([list(features(t, press)) for t in as_bytes(batch.column("text"))], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), x], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("rank"), x], ["label", "rank", "x"])
 
-    return plain.mapInArrow(run, "label int, x array<double>")
+    return plain.mapInArrow(run, "label int, rank long, x array<double>")
 
 
 def held_out(id_col: Column) -> Column:
@@ -186,17 +188,19 @@ def fit_quality(
 ) -> Gam:
     """A model of the labels 0 and 1 of the rows that aren't held out; null ids and labels don't count.
 
-    Of more than most_labels such rows it takes those with the smallest hashes. An id labelled twice counts
-    twice, and so do rows of docs that share it.
+    Of more than most_labels such rows it takes those with the smallest hashes, first of ids, then, where rows of docs
+    share ids, of ids with texts. An id labelled twice counts twice, and so do rows of docs that share it. A null text is
+    the empty one. Ties don't matter: rows equal in hash and label are equal, or as good as any others.
     """
-    used = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
+    used = labels.where(col(id_col).isNotNull() & col(label_col).isin(0, 1) & ~held_out(col(id_col)))
     chosen = (
-        used.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+        used.select(col(id_col).cast("long").alias("doc_id"), col(label_col).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(most_labels)
     )
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = _featured(plain.join(F.broadcast(chosen), "doc_id").select("label", "text")).toPandas()
+    plain = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
+    ranked = plain.join(F.broadcast(chosen), "doc_id").select("label", F.xxhash64("doc_id", text_key("text")).alias("rank"), "text")
+    rows = _featured(ranked).orderBy("rank", "label", "x").limit(most_labels).toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     y = rows["label"].to_numpy(float)
     order = np.lexsort((*x.T, y))  # the order in which rows arrive must not matter
@@ -215,6 +219,6 @@ def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "score", "predicted"])
 
     plain = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text")
+        col(id_col).cast("long").alias("doc_id"), held_out(col(id_col)).alias("held_out"), col(text_col).cast("string").alias("text")
     )
     return plain.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -130,10 +130,15 @@ def compression_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_by_rules(docs: DataFrame, text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
-    """The rows of docs, with all their columns, that the rules keep. Null and empty texts go."""
+    """The rows of docs, with all their columns, whatever their names, that the rules keep.
+
+    Null and empty texts go. Equal rows stay or go together; without rows there are none.
+    """
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    text = f"c{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in _batches(batches, text_col, bands):
+        for batch, found in _batches(batches, text, bands):
             yield batch.filter(pa.array([x[6] for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -16,7 +16,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import text_key, written
+from prosemill.llm.common import col, text_key, written
 
 SHARDS = 16
 #: Hexadecimal digits of the first prefixes, and sums that the driver takes in one round at most.
@@ -76,7 +76,10 @@ def _open(blocks: list[Block], least: int, most: int, shards: int) -> set[int]:
 
 
 def cuts_of(groups: DataFrame, shards: int, first_digits: int = FIRST_DIGITS, most_sums: int = MOST_SUMS) -> list[str]:
-    """The keys that begin the second and later shards. groups: key (64 hexadecimal digits, unique), size."""
+    """The keys that begin the second and later shards. groups: key (64 hexadecimal digits, unique), size; no nulls.
+
+    Of several cuts that do, it takes those that fill each shard in turn. No groups, or no more than one shard, have none.
+    """
 
     def sums(frame: DataFrame, digits: int) -> list[Block]:
         rows = (
@@ -127,10 +130,10 @@ def minimax_shards(
     rows each get a slot of their own, which of them which is open. Fewer groups than shards leave the last
     shards empty. No text is shuffled: its length, checksum and key are taken where it is read.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     rows = written(
         docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
+            col(id_col).cast("long").alias("doc_id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.sha2(text.cast("binary"), 256).alias("key"),
@@ -138,7 +141,8 @@ def minimax_shards(
         ),
         "sharding",
     )
-    cuts = cuts_of(rows.groupBy("key").agg(F.sum("size").alias("size")), shards, first_digits, most_sums)
+    groups = written(rows.groupBy("key").agg(F.sum("size").alias("size")), "sharding-groups")  # every round reads them
+    cuts = cuts_of(groups, shards, first_digits, most_sums)
     shard: Column = F.lit(0)
     for cut in cuts:
         shard = shard + (F.col("key") >= F.lit(cut)).cast("int")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import slices
+from prosemill.llm.common import col, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenisation pattern of that vocabulary (a fixed value).
@@ -43,7 +43,7 @@ def encoded_lengths(
             counts = [len(encoding.encode_ordinary(x)) if x else 0 for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long"
     )
 
@@ -53,10 +53,10 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
 
     docs_at_least and tokens_at_least count documents of this length or more; fitting_share is the share of
     documents that fit whole; truncated_tokens is the total when every document is cut at this length. Null
-    lengths count as 0. An empty table gives no rows.
+    lengths count as 0; documents of the same length, repeated rows among them, are one row. An empty table gives no rows.
     """
     hist = (
-        lengths.select(F.coalesce(F.col(column), F.lit(0)).cast("long").alias("length"))
+        lengths.select(F.coalesce(col(column), F.lit(0)).cast("long").alias("length"))
         .groupBy("length")
         .agg(F.count("*").alias("docs"))
         .withColumn("tokens", F.col("length") * F.col("docs"))
