@@ -11,18 +11,22 @@ from pyspark.sql import functions as F
 from prosemill.operators.compose import rank_within_language, same_language
 from prosemill.operators.lexical import mattr_of, mtld_of, vocd_of
 from prosemill.operators.report import generate_report
-from prosemill.plans.pipeline import score_documents, with_components, with_gate, with_language, with_preprocess, with_results
+from prosemill.plans.pipeline import (
+    Providers, score_documents, with_complexity_band, with_gate, with_iq, with_language, with_language_errors, with_lexical, with_mental_age,
+    with_preprocess, with_readability, with_semantic, with_style_index, with_syntactic,
+)
 from prosemill.policy import Policy
 
-#: The twelve tools and the stage that has each; stages add one struct after the other.
+#: The twelve tools and the stage that each is. A stage reads the structs of those before it and adds its own, so each
+#: can be called by itself on rows that have what it needs.
 TOOLS = {
-    "detect_language": with_language, "preprocess": with_preprocess, "evaluate_gates": with_gate, "analyze_lexical": with_components,
-    "analyze_syntactic": with_components, "analyze_semantic": with_components, "analyze_readability": with_components,
-    "style_index": with_results, "predict_iq": with_results, "predict_mental_age": with_results, "complexity_band": with_results,
+    "detect_language": with_language, "preprocess": with_preprocess, "evaluate_gates": with_gate, "analyze_lexical": with_lexical,
+    "analyze_syntactic": with_syntactic, "analyze_semantic": with_semantic, "analyze_readability": with_readability,
+    "style_index": with_style_index, "predict_iq": with_iq, "predict_mental_age": with_mental_age, "complexity_band": with_complexity_band,
     "generate_report": generate_report,
 }
 
-__all__ = ["TOOLS", "Policy", "rank_within_language", "register_sql", "same_language", "score_documents"]
+__all__ = ["TOOLS", "Policy", "Providers", "rank_within_language", "register_sql", "same_language", "score_documents", "with_language_errors"]
 
 
 class ExplainDocument:

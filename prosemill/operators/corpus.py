@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from prosemill.policy import COMPONENTS, Policy
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, whose computed columns are worked out once a row: no expression above reaches through the generator."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def complete(scored: DataFrame, columns: tuple[str, ...] = tuple(COMPONENTS)) -> DataFrame:
     """Rows that have every component."""
     return scored.dropna(subset=list(columns))

@@ -15,7 +15,7 @@ from prosemill.operators.evidence import rank_evidence
 from prosemill.operators.language import FUNCTION_WORDS
 
 # Windows, thresholds, scales and weights that results must agree with.
-WINDOW, MTLD_THRESHOLD, MIN_MTLD, MIN_VOCD, RARE_ZIPF, MAX_OOV = 50, 0.72, 10, 50, 3.5, 0.10
+WINDOW, MTLD_THRESHOLD, MIN_MTLD, MIN_VOCD, RARE_ZIPF, RARE_LETTERS, MAX_OOV = 50, 0.72, 10, 50, 3.5, 5, 0.10
 WEIGHTS = {"mattr": 0.45, "mtld": 0.35, "lexical_density": 0.20}
 SCALES = {"mattr": (0.3, 0.9), "mtld": (40.0, 200.0), "lexical_density": (0.3, 0.7)}
 
@@ -66,7 +66,7 @@ def mtld_of(words: list[str], threshold: float = MTLD_THRESHOLD) -> float | None
 
 
 def vocd_of(words: list[str]) -> float | None:
-    """The parameter of the curve of expected type-token ratios for samples of 35 to 50 words.
+    """The parameter of the curve of expected type-token ratios for samples of 35 to 50 words; null if none fits.
 
     The expected ratios are exact (hypergeometric), so no samples are drawn; the fit is a bisection.
     """
@@ -86,24 +86,49 @@ def vocd_of(words: list[str]) -> float | None:
         return float(((curve - ratio) * (np.sqrt(1 + 2 * sizes / d) - 1)).sum())
 
     low, high = 0.01, 10_000.0
-    if miss(high) < 0:
-        return high
+    if miss(high) < 0:  # words that hardly ever recur: no curve fits
+        return None
     for _ in range(80):
         middle = (low * high) ** 0.5
         low, high = (middle, high) if miss(middle) < 0 else (low, middle)
     return float((low * high) ** 0.5)
 
 
-@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("mattr", "mtld", "vocd_d")]))
+MEASURES = {"mattr": mattr_of, "mtld": mtld_of, "vocd_d": vocd_of}
+
+
+def _split(texts: pd.Series) -> list[list[str]]:
+    return [x.split(" ") if x else [] for x in texts]
+
+
+def _measured(lists: list[list[str]]) -> pd.DataFrame:
+    columns = {k: pd.Series([f(w) for w in lists], dtype="float64") for k, f in MEASURES.items()}
+    return pd.DataFrame(columns).replace({np.nan: None})
+
+
+DIVERSITY = StructType([StructField(k, DoubleType()) for k in MEASURES])
+
+
+@F.pandas_udf(DIVERSITY)
 def diversity(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """The three measures of word sequences, given as words joined by spaces. Order matters, so no built-in does it."""
     for batch in texts:
-        lists = [(x or "").split(" ") if x else [] for x in batch]
-        yield pd.DataFrame({
-            "mattr": pd.Series([mattr_of(w) for w in lists], dtype="float64"),
-            "mtld": pd.Series([mtld_of(w) for w in lists], dtype="float64"),
-            "vocd_d": pd.Series([vocd_of(w) for w in lists], dtype="float64"),
-        }).replace({np.nan: None})
+        yield _measured(_split(batch))
+
+
+@F.pandas_udf(DIVERSITY)
+def diversity_of_known(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """The same of the words that are among the known ones, which are joined by spaces too."""
+    for batch, known in texts:
+        sets = [set(k) for k in _split(known)]
+        yield _measured([[w for w in words if w in k] for words, k in zip(_split(batch), sets, strict=True)])
+
+
+@F.pandas_udf(DoubleType())
+def mattr(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """MATTR alone, for who needs no other measure."""
+    for batch in texts:
+        yield pd.Series([mattr_of(w) for w in _split(batch)], dtype="float64").replace({np.nan: None})
 
 
 def mattr_native(words: Column, window: int = WINDOW) -> Column:
@@ -127,7 +152,8 @@ def with_lexicon(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", te
     """For each document with words: shares of unknown and of rare words, and content density (nulls: no known word).
 
     lexicon: lang, word, zipf and, if it has it, is_stop. Words are counted within a document before the join, so
-    a word moves once for each document; whether the lexicon is broadcast is left to its size.
+    a word moves once for each document; whether the lexicon is broadcast is left to its size. known: the document's
+    words that the lexicon has; rare_once: those of them that are rare, long and occur once.
     """
     stop = F.col("is_stop") if "is_stop" in lexicon.columns else F.lit(False)
     known = lexicon.select(F.col(lang_col).alias("lang") if lang_col in lexicon.columns else F.col("lang"), "word", "zipf", stop.alias("is_stop"))
@@ -146,12 +172,14 @@ def with_lexicon(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", te
             F.sum(found).alias("known_token_count"),
             F.sum(F.when((F.col("zipf") > 0) & (F.col("zipf") < RARE_ZIPF), n).otherwise(0)).alias("rare"),
             F.sum(F.when((F.col("zipf") > 0) & ~F.coalesce("is_stop", F.lit(False)), n).otherwise(0)).alias("content"),
+            F.collect_list(F.when(F.col("zipf") > 0, F.col("word"))).alias("known"),  # no longer than the document
+            F.collect_list(F.when((F.col("zipf") > 0) & (F.col("zipf") < RARE_ZIPF) & (n == 1) & (F.length("word") > RARE_LETTERS), F.col("word"))).alias("rare_once"),
         )
         .select(
             "doc_id", "alpha_token_count", "known_token_count",
             F.round(1 - F.col("known_token_count") / F.col("alpha_token_count"), 6).alias("oov_rate"),
             F.round(F.try_divide("rare", "known_token_count"), 6).alias("rare_word_share"),
-            F.round(F.try_divide("content", "known_token_count"), 6).alias("lexical_density"),
+            F.round(F.try_divide("content", "known_token_count"), 6).alias("lexical_density"), "known", "rare_once",
         )
     )
 
@@ -182,53 +210,60 @@ def stop_words(lang: Column, word: Column) -> Column:
 def analyze(words: Column, sentences: Column, lang: Column, found: Column, shares: Column | None = None) -> Column:
     """The lexical result, with all its fields on every path.
 
-    words: lower-cased, alphabetic; found: the result of diversity(); shares: a row of with_lexicon(), or null for
-    no dictionary, when every word counts as known and rarity isn't measured.
+    words: lower-cased, alphabetic; found: the result of diversity(), over the known words where there is a dictionary;
+    shares: a row of with_lexicon(), or null for no dictionary, when every word counts as known and rarity isn't
+    measured. Without words, or without any that the dictionary has, nothing is measured and error says so.
     """
-    n = F.size(words)
+    n = F.size(words).cast("long")
     digits = lambda c, d: F.round(c, d)
-    known = shares["known_token_count"] if shares is not None else n.cast("long")
+    known = F.coalesce(shares["known_token_count"], F.lit(0)) if shares is not None else n
+    some = F.coalesce(known > 0, F.lit(False))
     content = F.size(F.filter(words, lambda w: ~stop_words(lang, w)))
     density = shares["lexical_density"] if shares is not None else F.when(n > 0, content / n)
-    measures = {
-        "mattr": digits(found["mattr"], 3), "mtld": digits(found["mtld"], 1), "lexical_density": digits(density, 3),
-    }
+    measures = {"mattr": digits(found["mattr"], 3), "mtld": digits(found["mtld"], 1), "lexical_density": digits(density, 3)}
+    measures = {k: F.when(some, v) for k, v in measures.items()}
+    vocd = F.when(some, digits(found["vocd_d"], 1))
     score = F.round(T.weighted({k: (T.scaled(v, *SCALES[k]), WEIGHTS[k]) for k, v in measures.items()}), 1)
-    oov = shares["oov_rate"] if shares is not None else F.when(n > 0, F.lit(0.0))
-    none = n == 0
+    weights = F.map_filter(
+        F.create_map(*[x for k, v in measures.items() for x in (F.lit(k), F.when(v.isNotNull(), F.lit(WEIGHTS[k])))]), lambda _, v: v.isNotNull()
+    )
+    oov = F.round(shares["oov_rate"], 3) if shares is not None else F.when(n > 0, F.lit(0.0))
     reasons = F.filter(
         F.array(F.when(oov > MAX_OOV, F.concat(F.format_number(oov, 2), F.lit(" of the words are not in the dictionary")))),
         lambda x: x.isNotNull(),
     )
+    short = lambda name, least: F.concat(F.lit(f"{name}_too_short: "), known.cast("string"), F.lit(f" known words; at least {least} are needed"))
     warnings = F.filter(
         F.array(
-            F.when(none, "insufficient_text: no words"), F.when(~none & (n < MIN_MTLD), "mtld_too_short"),
-            F.when(~none & (n < MIN_VOCD), "vocd_too_short"),
+            F.when(n == 0, "insufficient_text: no words").when(~some, "insufficient_text: no dictionary words"),
+            F.when(some & (known < MIN_MTLD), short("mtld", MIN_MTLD)),
+            F.when(some & (known < MIN_VOCD), short("vocd", MIN_VOCD)),
+            F.when(some & (known >= MIN_VOCD) & vocd.isNull(), "vocd_failed: no curve fits"),
         ),
         lambda x: x.isNotNull(),
     )
+    rare = shares["rare_once"] if shares is not None else None
+    evidence = _evidence(words, sentences, rare)
     return F.struct(
-        measures["mattr"].alias("mattr"), measures["mtld"].alias("mtld"), digits(found["vocd_d"], 1).alias("vocd_d"),
-        measures["lexical_density"].alias("lexical_density"),
-        F.when(~none, F.round(F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / n, 1)).alias("avg_word_length"),
-        F.lit("letter runs").alias("token_unit"), n.cast("long").alias("alpha_token_count"),
-        F.coalesce(known, F.lit(0)).cast("long").alias("known_token_count"), oov.alias("oov_rate"),
-        (F.round(shares["rare_word_share"], 3) if shares is not None else F.lit(None).cast("double")).alias("rare_word_share"),
-        F.when(~none, T.repeated_ngram_share(words)).alias("repeated_ngram_share"),
-        (none | (F.size(reasons) > 0)).alias("low_reliability"), reasons.alias("reliability_reasons"),
-        F.when(~none, score).alias("score"), _evidence(words, sentences).alias("evidence"), warnings.alias("warnings"),
-        F.when(none, "INSUFFICIENT_TEXT").alias("error"),
+        *[v.alias(k) for k, v in list(measures.items())[:2]], vocd.alias("vocd_d"), measures["lexical_density"].alias("lexical_density"),
+        F.when(some, F.round(F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w)) / n, 1)).alias("avg_word_length"),
+        F.lit("letter runs").alias("token_unit"), n.alias("alpha_token_count"), known.alias("known_token_count"), oov.alias("oov_rate"),
+        (F.when(some, F.round(shares["rare_word_share"], 3)) if shares is not None else F.lit(None).cast("double")).alias("rare_word_share"),
+        F.when(some, T.repeated_ngram_share(words)).alias("repeated_ngram_share"),
+        (~some | (F.size(reasons) > 0)).alias("low_reliability"), reasons.alias("reliability_reasons"), weights.alias("score_weights"),
+        F.when(some, score).alias("score"), F.when(some, evidence).otherwise(F.slice(evidence, 1, 0)).alias("evidence"), warnings.alias("warnings"),
+        F.when(~some, "INSUFFICIENT_TEXT").alias("error"),
     )
 
 
-def _evidence(words: Column, sentences: Column) -> Column:
-    """Sentences by their share of long words that the document has once."""
+def _evidence(words: Column, sentences: Column, rare: Column | None = None) -> Column:
+    """Sentences by their share of rare words. rare: such words; without a dictionary, long words that occur once."""
 
     in_order = F.array_sort(words)
-    once = F.transform(
+    once = rare if rare is not None else F.transform(
         F.array(in_order),
-        lambda o: F.filter(o, lambda w, i: (F.length(w) > 5) & ~w.eqNullSafe(F.get(o, i - 1)) & ~w.eqNullSafe(F.get(o, i + 1))),
-    )[0]
+        lambda o: F.filter(o, lambda w, i: (F.length(w) > RARE_LETTERS) & ~w.eqNullSafe(F.get(o, i - 1)) & ~w.eqNullSafe(F.get(o, i + 1))),
+    )[0]
 
     def of(s: Column, singles: Column) -> Column:
         own = F.transform(F.filter(F.split(s["text"], "\\s+"), lambda w: w.rlike("^\\p{L}+$")), F.lower)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions import text as T
@@ -37,24 +39,36 @@ def dedupe(sentences: Column, threshold: float = 0.8) -> Column:
     return F.aggregate(rows, start, lambda kept, s: F.when(near(kept, s), kept).otherwise(F.concat(kept, F.array(s))))
 
 
-def remapped(boundaries: Column, kept_idx: Column) -> Column:
-    """Boundaries on removed sentences move to the next kept one, or go if there is none."""
-    moved = F.transform(boundaries, lambda b: F.array_min(F.filter(kept_idx, lambda k: k >= b)))
-    return F.array_distinct(F.filter(moved, lambda x: x.isNotNull()))
+def moved(boundaries: Column, kept_idx: Column) -> Column:
+    """array<struct<at, to>>: for each boundary the first kept sentence from there on; null if there is none."""
+    return F.transform(boundaries, lambda b: F.struct(b.alias("at"), F.array_min(F.filter(kept_idx, lambda k: k >= b)).alias("to")))
 
 
-def hashed_vector(words: Column, size: int = 64) -> Column:
-    """The default embedding of a sentence: unit counts of hashed words. A real model's vectors can take its place."""
-    slot = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slot, lambda s: s == i)).cast("double"))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(F.array(counts), lambda v: F.transform(v, lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(0.0)))[0]
+def remapped(boundaries: Column, kept_idx: Column) -> Column:
+    """Boundaries on removed sentences move to the next kept one, or go if there is none."""
+    return F.array_distinct(F.filter(F.transform(moved(boundaries, kept_idx), lambda x: x["to"]), lambda x: x.isNotNull()))
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Of two vectors; null if one has no length or is null."""
+    norm = lambda v: F.sqrt(dot(v, v))
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
+
+
+def neighbours(rows: DataFrame, group: str, order: str, item: str, similarity: Callable[[Column, Column], Column]) -> DataFrame:
+    """group, order, next, raw: each row with the next one of its group, and how alike they are.
+
+    For items that stand in rows of their own, as sentences of long documents or turns of conversations do.
+    """
+    by = Window.partitionBy(group).orderBy(order)
+    both = rows.select(group, order, F.col(item).alias("a"), F.lead(item).over(by).alias("b"), F.lead(order).over(by).alias("next"))
+    return both.where("next IS NOT NULL").select(group, order, "next", similarity(F.col("a"), F.col("b")).alias("raw"))
+
+
 def word_cosine(a: Column, b: Column) -> Column:
     """Cosine of two sets of words; 0 if one is empty."""
     both, n, m = F.size(F.array_intersect(a, b)), F.size(a), F.size(b)
@@ -65,12 +79,19 @@ def note(similarity: Column) -> Column:
     return F.when(similarity > HIGH, "high overlap").when(similarity < LOW, "low overlap").otherwise("moderate overlap")
 
 
-def transitions(kept: Column, boundaries: Column, vectors: bool = False) -> Column:
-    """array<struct<sentence_idx_from, sentence_idx_to, raw>> of neighbours that no boundary parts."""
+def transitions(kept: Column, boundaries: Column, vectors: Column | None = None) -> Column:
+    """array<struct<sentence_idx_from, sentence_idx_to, raw>> of neighbours that no boundary parts.
+
+    vectors: a map from idx to the sentence's vector, used if all the kept sentences have one.
+    """
 
     def pair(i: Column) -> Column:
         a, b = F.element_at(kept, i), F.element_at(kept, i + 1)
-        raw = dot(a["vector"], b["vector"]) if vectors else word_cosine(a["words"], b["words"])
+        raw = word_cosine(a["words"], b["words"])
+        if vectors is not None:
+            every = vectors.isNotNull() & F.forall(kept, lambda k: F.try_element_at(vectors, k["idx"]).isNotNull())
+            by_vector = cosine(F.try_element_at(vectors, a["idx"]), F.try_element_at(vectors, b["idx"]))
+            raw = F.when(every, F.coalesce(by_vector, F.lit(0.0))).otherwise(raw)
         return F.struct(a["idx"].alias("sentence_idx_from"), b["idx"].alias("sentence_idx_to"), raw.alias("raw"))
 
     pairs = F.when(F.size(kept) > 1, F.transform(F.sequence(F.lit(1), F.size(kept) - 1), pair))
@@ -88,16 +109,20 @@ def chain_density(kept: Column) -> Column:
     return F.round(F.transform(F.array(F.array_sort(F.flatten(F.transform(kept, own)))), of)[0], 3)
 
 
-def analyze(sentences: Column, boundaries: Column | None = None, policy: Policy = Policy()) -> Column:
+def analyze(
+    sentences: Column, boundaries: Column | None = None, policy: Policy = Policy(), vectors: Column | None = None, labels: Column | None = None
+) -> Column:
     """The semantic result; without two distinct sentences, or any transition, the score is null and note says why.
 
-    sentences: array<struct<idx, text>>; boundaries: idx at which a new document begins.
+    sentences: array<struct<idx, text>>; boundaries: idx at which a new document begins; vectors: as transitions()
+    takes them; labels: those of the document's entities.
     """
     edges = F.coalesce(boundaries, F.array().cast("array<int>")) if boundaries is not None else F.array().cast("array<int>")
+    none = F.array().cast("array<string>")
 
     def of(kept: Column) -> Column:
         at = remapped(edges, F.transform(kept, lambda k: k["idx"]))
-        return F.transform(F.array(transitions(kept, at)), lambda t: result(kept, t))[0]
+        return F.transform(F.array(transitions(kept, at, vectors)), lambda t: result(kept, t))[0]
 
     def result(kept: Column, t: Column) -> Column:
         n, total, left = F.size(t), F.size(sentences), F.size(kept)
@@ -120,7 +145,7 @@ def analyze(sentences: Column, boundaries: Column | None = None, policy: Policy
         fields = ("sentence_idx_from", "sentence_idx_to", "similarity", "note", "contribution")
         return F.struct(
             similarity.alias("adjacent_sentence_similarity"), drift.alias("topic_drift_index"), chain.alias("lexical_chain_density"),
-            F.array().cast("array<string>").alias("entity_labels"), F.when(measured, n).otherwise(0).alias("transitions"),
+            (F.coalesce(labels, none) if labels is not None else none).alias("entity_labels"), F.when(measured, n).otherwise(0).alias("transitions"),
             F.when(measured, "uncalibrated").alias("scaling_status"), (total - left).alias("duplicate_sentences_removed"),
             F.when(total > 0, F.round((total - left) / total, 3)).alias("duplicate_sentence_ratio"), F.when(measured, score).alias("score"),
             F.when(measured, rank_evidence(items, fields)).otherwise(F.slice(rank_evidence(items, fields), 1, 0)).alias("evidence"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from prosemill.functions import sanitize, text as T
 from prosemill.operators import boundary, compose, corpus, integrity, language, lexical, readability, semantic, syntactic
 from prosemill.operators.report import generate_report
-from prosemill.plans.pipeline import score_documents
+from prosemill.plans.pipeline import score_documents, with_gate, with_language, with_lexical, with_preprocess
 from prosemill.policy import Policy
 from prosemill.sources.readers import tables
 
@@ -148,7 +148,7 @@ def lexicon_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.lit("all").alias("lang")
     known = lexical.corpus_lexicon(tables(spark, sf_dir, "benchmark").select(one, "text"))
     known = known.withColumn("is_stop", F.col("word").isin(STOP))
-    return lexical.with_lexicon(documents(spark, sf_dir, "text").withColumn("lang", F.lit("all")), known)
+    return lexical.with_lexicon(documents(spark, sf_dir, "text").withColumn("lang", F.lit("all")), known).drop("known", "rare_once")
 
 
 MATTR_SQL = """CASE WHEN len(w) = 0 THEN NULL WHEN len(w) < 50 THEN len(list_distinct(w)) / len(w)
@@ -158,7 +158,7 @@ MATTR_SQL = """CASE WHEN len(w) = 0 THEN NULL WHEN len(w) < 50 THEN len(list_dis
 @query(f"WITH {BASE} SELECT doc_id, round({MATTR_SQL}, 6) AS mattr FROM base WHERE len(w) > 0")
 def mattr(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base(spark, sf_dir).where(F.size("w") > 0)
-    return rows.select("doc_id", lexical.diversity(F.array_join("w", " ")).alias("d")).select("doc_id", F.round("d.mattr", 6).alias("mattr"))
+    return rows.select("doc_id", F.round(lexical.mattr(F.array_join("w", " ")), 6).alias("mattr"))
 
 
 @query(f"WITH {BASE} SELECT doc_id, round({MATTR_SQL}, 6) AS mattr FROM base WHERE len(w) > 0")
@@ -168,6 +168,67 @@ def mattr_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.round("mattr", 6).alias("mattr"))
 
 
+ZIPF_SHIFT = 1.5
+
+
+def benchmark_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of benchmark as a dictionary of English; as it is small, zipf is lowered by ZIPF_SHIFT, for some to be rare."""
+    known = lexical.corpus_lexicon(tables(spark, sf_dir, "benchmark").select(F.lit("en").alias("lang"), "text"))
+    return known.withColumns({"zipf": F.col("zipf") - ZIPF_SHIFT, "is_stop": F.col("word").isin(language.FUNCTION_WORDS["en"].split())})
+
+
+def _by_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_gate(with_preprocess(with_language(documents(spark, sf_dir, "lang", "text"), POLICY, "lang"), False, POLICY), POLICY)
+    return with_lexical(rows, benchmark_lexicon(spark, sf_dir), POLICY).where("lexical IS NOT NULL")
+
+
+KNOWN = f"""{BASE}, bw AS (SELECT unnest(list_transform(regexp_extract_all(text, '\\p{{L}}+'), lambda x: lower(x))) AS word FROM benchmark),
+bk AS (SELECT word, count(*) AS n FROM bw GROUP BY word), bz AS (SELECT word, round(log10(n / (SELECT sum(n) FROM bk) * 1e9), 6) - {ZIPF_SHIFT} AS zipf FROM bk),
+en AS (SELECT * FROM base WHERE lang = 'en' AND len(w) > 0), dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM en),
+dk AS (SELECT doc_id, list(word ORDER BY p) AS w FROM dw JOIN bz USING (word) GROUP BY doc_id),
+ds AS (SELECT doc_id, count(*) AS alpha, count(zipf) AS known, count(*) FILTER (zipf < 3.5) AS rare,
+  count(*) FILTER (zipf > 0 AND dw.word NOT IN ({', '.join(repr(w) for w in language.FUNCTION_WORDS['en'].split())})) AS content
+  FROM dw LEFT JOIN bz USING (word) GROUP BY doc_id)"""
+
+
+@query(f"""WITH {KNOWN} SELECT doc_id, alpha AS alpha_token_count, known AS known_token_count, round(1 - known / alpha, 3) AS oov_rate,
+  round(rare / nullif(known, 0), 3) AS rare_word_share, round(content / nullif(known, 0), 3) AS lexical_density, round({MATTR_SQL}, 3) AS mattr,
+  CASE WHEN known = 0 THEN 'INSUFFICIENT_TEXT' END AS error FROM ds LEFT JOIN dk USING (doc_id)""")
+def lexical_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures over the words that a dictionary has, of documents in the dictionary's language."""
+    rows = _by_lexicon(spark, sf_dir)
+    return rows.select("doc_id", *[f"lexical.{k}" for k in ("alpha_token_count", "known_token_count", "oov_rate", "rare_word_share", "lexical_density", "mattr", "error")])
+
+
+@query(f"""WITH {KNOWN}, once AS (SELECT doc_id, word FROM dw JOIN bz USING (word) WHERE zipf < 3.5 AND len(word) > 5 GROUP BY doc_id, word HAVING count(*) = 1),
+  sn AS (SELECT doc_id, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS idx FROM en JOIN ds USING (doc_id) WHERE known > 0),
+  sw AS (SELECT doc_id, idx, list_transform(list_filter(string_split_regex(t, '\\s+'), lambda x: regexp_full_match(x, '\\p{{L}}+')), lambda x: lower(x)) AS v FROM sn),
+  sr AS (SELECT doc_id, idx, v, coalesce(list_filter(v, lambda x: list_contains(o, x)), []) AS r FROM sw LEFT JOIN (SELECT doc_id, list(word) AS o FROM once GROUP BY doc_id) USING (doc_id) WHERE len(v) > 0),
+  h AS (SELECT doc_id, idx, round(len(r) / len(v), 3) AS c, array_to_string(r[1:3], ' ') AS rare FROM sr),
+  k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, idx) AS down FROM h),
+  u AS (SELECT *, CASE WHEN down > 2 THEN row_number() OVER (PARTITION BY doc_id, down > 2 ORDER BY c, idx) END AS up FROM k)
+  SELECT doc_id, idx::INT AS sentence_idx, c AS contribution, coalesce(rare, '') AS rare, CASE WHEN down <= 2 THEN 'strongest' ELSE 'weakest' END AS rank
+  FROM u WHERE down <= 2 OR up <= 2""")
+def lexical_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences with the largest and the smallest shares of rare words, by the dictionary's frequencies."""
+    rows = _by_lexicon(spark, sf_dir).select("doc_id", F.inline("lexical.evidence"))
+    words = F.transform(F.filter("triggered_by", lambda x: x.startswith("rare:")), lambda x: F.substr(x, F.lit(6)))
+    return rows.select("doc_id", "sentence_idx", "contribution", F.array_join(words, " ").alias("rare"), "rank")
+
+
+def _factors_sql(words: str) -> str:
+    """Factors of a direction: whole runs, and the part that the last one has come."""
+    run = f"list_reduce(list_transform({words}, lambda x: {{'f': 0, 'run': [x]}}), lambda a, b: CASE WHEN len(list_distinct(a.run || b.run)) / len(a.run || b.run) <= 0.72 THEN {{'f': a.f + 1, 'run': []::VARCHAR[]}} ELSE {{'f': a.f, 'run': a.run || b.run}} END, {{'f': 0, 'run': []::VARCHAR[]}})"
+    return f"(SELECT z.f + CASE WHEN len(z.run) > 0 THEN (1 - len(list_distinct(z.run)) / len(z.run)) / 0.28 ELSE 0 END FROM (SELECT {run} AS z))"
+
+
+@query(f"""WITH {BASE}, f AS (SELECT doc_id, len(w) AS n, {_factors_sql('w')} AS a, {_factors_sql('list_reverse(w)')} AS b FROM base)
+  SELECT doc_id, CASE WHEN n >= 10 THEN round(((CASE WHEN a > 0 THEN n / a ELSE n END) + (CASE WHEN b > 0 THEN n / b ELSE n END)) / 2, 6) END AS mtld FROM f""")
+def mtld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = base(spark, sf_dir).select("doc_id", lexical.diversity(F.array_join("w", " ")).alias("d"))
+    return rows.select("doc_id", F.round("d.mtld", 6).alias("mtld"))
+
+
 @query()
 def diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base(spark, sf_dir).select("doc_id", lexical.diversity(F.array_join("w", " ")).alias("d"))
@@ -232,11 +293,9 @@ v AS (SELECT label, vec_id, next_id, list_cosine_similarity(a, b) AS r FROM n WH
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector with the next of its label, and their cosine."""
-    vectors = tables(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
-    order = Window.partitionBy("label").orderBy("vec_id")
-    rows = vectors.withColumns({"b": F.lead("a").over(order), "next_id": F.lead("vec_id").over(order)}).where("next_id IS NOT NULL")
-    norm = lambda c: F.sqrt(semantic.dot(F.col(c), F.col(c)))
-    return rows.select("label", "vec_id", "next_id", F.try_divide(semantic.dot(F.col("a"), F.col("b")), norm("a") * norm("b")).alias("r"))
+    vectors = tables(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    rows = semantic.neighbours(vectors, "label", "vec_id", "v", semantic.cosine)
+    return rows.select("label", "vec_id", F.col("next").alias("next_id"), F.col("raw").alias("r"))
 
 
 @query(f"WITH {NEIGHBOURS} SELECT label, count(*) AS transitions, round(avg(r), 6) AS similarity, round(stddev_pop(r), 6) AS drift FROM v GROUP BY label")
@@ -258,10 +317,9 @@ def transition_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
   AS similarity FROM n WHERE next_turn IS NOT NULL""")
 def segment_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of neighbouring turns, never across conversations."""
-    words = tables(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(T.words("text")).alias("a"))
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    rows = words.withColumns({"b": F.lead("a").over(order), "next_turn": F.lead("turn").over(order)}).where("next_turn IS NOT NULL")
-    return rows.select("conv_id", "turn", "next_turn", F.round(semantic.word_cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
+    words = tables(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(T.words("text")).alias("w"))
+    rows = semantic.neighbours(words, "conv_id", "turn", "w", semantic.word_cosine)
+    return rows.select("conv_id", "turn", F.col("next").alias("next_turn"), F.round("raw", 6).alias("similarity"))
 
 
 @query("""WITH k AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, text ORDER BY turn) = 1 AS kept FROM conversations),
@@ -270,12 +328,20 @@ def segment_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boundary_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundaries at users' turns, moved on to the next turn that doesn't repeat an earlier one; null if there is none."""
     first = F.row_number().over(Window.partitionBy("conv_id", "text").orderBy("turn")) == 1
-    onwards = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = tables(spark, sf_dir, "conversations").withColumn("kept", first)
-    return rows.withColumn("moved_to", F.min(F.when(F.col("kept"), F.col("turn"))).over(onwards)).where("role = 'user'").select("conv_id", "turn", "moved_to")
-
-
-@query()
+    turns = tables(spark, sf_dir, "conversations").withColumn("kept", first).groupBy("conv_id").agg(
+        F.collect_list(F.when(F.col("role") == "user", F.col("turn"))).alias("edges"), F.collect_list(F.when(F.col("kept"), F.col("turn"))).alias("kept")
+    )  # as many as a conversation's turns
+    rows = turns.select("conv_id", F.inline(semantic.moved(F.col("edges"), F.col("kept"))))
+    return rows.select("conv_id", F.col("at").alias("turn"), F.col("to").alias("moved_to"))
+
+
+@query(f"""WITH RECURSIVE {BASE}, sn AS (SELECT doc_id, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS idx FROM base),
+  st AS (SELECT doc_id, idx::INT AS idx, list_distinct(list_transform(regexp_extract_all(t, '\\p{{L}}+'), lambda x: lower(x))) AS a FROM sn),
+  fold AS (SELECT doc_id, 0 AS step, []::INT[] AS kept, []::VARCHAR[][] AS sets FROM base UNION ALL
+    SELECT f.doc_id, f.step + 1, CASE WHEN near THEN f.kept ELSE list_append(f.kept, st.idx) END, CASE WHEN near THEN f.sets ELSE list_append(f.sets, st.a) END
+    FROM fold f JOIN st ON st.doc_id = f.doc_id AND st.idx = f.step,
+    LATERAL (SELECT len(st.a) > 0 AND len(list_filter(f.sets, lambda b: len(b) > 0 AND len(list_intersect(st.a, b)) >= 0.8 * (len(st.a) + len(b) - len(list_intersect(st.a, b))))) > 0 AS near))
+  SELECT doc_id, max(step) AS n, max(len(kept)) AS n_kept, arg_max(kept, step) AS kept_idx FROM fold GROUP BY doc_id""")
 def sentence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base(spark, sf_dir).select("doc_id", F.size("s").alias("n"), semantic.dedupe(F.col("s")).alias("kept"))
     return rows.select("doc_id", "n", F.size("kept").alias("n_kept"), F.transform("kept", lambda k: k["idx"]).alias("kept_idx"))
@@ -305,10 +371,10 @@ scored AS (SELECT *, round((coalesce(lexical * 0.35, 0) + syntactic * 0.25 + coa
 
 
 def light(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _indices(base(spark, sf_dir)).withColumn("d", lexical.diversity(F.array_join("w", " ")))
+    rows = _indices(base(spark, sf_dir)).withColumn("m", lexical.mattr(F.array_join("w", " ")))
     n, ns = F.size("w"), F.size("s")
     measured = rows.select(
-        "doc_id", "lang", n.alias("n"), ns.alias("ns"), F.round("d.mattr", 6).alias("mattr"), (n / F.greatest(F.lit(1), ns)).alias("msl"),
+        "doc_id", "lang", n.alias("n"), ns.alias("ns"), F.round("m", 6).alias("mattr"), (n / F.greatest(F.lit(1), ns)).alias("msl"),
         semantic.chain_density(F.col("s")).alias("chain"), "v.ari", F.col("v.gunning_fog").alias("fog"),
         F.when(n > 0, F.aggregate("w", F.lit(0), lambda a, x: a + F.length(x)) / n).alias("mwl"),
     )
@@ -317,7 +383,7 @@ def light(spark: SparkSession, sf_dir: str) -> DataFrame:
         "semantic": F.when(F.col("ns") > 1, T.scaled(F.col("chain"), 0.1, 0.6)), "readability": T.scaled(F.col("ari"), 5.0, 16.0),
     })
     index = compose.weighted_index({k: F.col(k) for k in POLICY.weights}, POLICY)
-    return scores.withColumn("style_index", F.round(index, 6))
+    return corpus.settled(scores).withColumn("style_index", F.round(index, 6))
 
 
 @query(f"WITH {LIGHT} SELECT doc_id, style_index, semantic IS NULL AS partial FROM scored")
@@ -435,7 +501,7 @@ def _signed(rows: DataFrame) -> DataFrame:
     return integrity.sign(rows.withColumn("result", F.struct(T.word_count("text").alias("words"))), "result", "counts")
 
 
-@query()
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS input_sha256, 'counts' AS kind, NULL::VARCHAR AS integrity_error FROM documents")
 def signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed and verified again: the error is null for every row."""
     rows = integrity.verify(_signed(documents(spark, sf_dir, "text")), "result", "counts")
@@ -457,6 +523,20 @@ def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""WITH base AS (SELECT doc_id, lang, text, len(text) > 100000 AS big FROM documents),
+  c AS (SELECT doc_id, lang, big, CASE WHEN lang = 'en' AND NOT big THEN """ + CLEAN + """ ELSE '' END AS c FROM base),
+  n AS (SELECT *, len(regexp_extract_all(c, '\\p{L}+')) AS w, len(regexp_extract_all(c, '\\p{L}+|\\p{N}+|[^\\s\\p{L}\\p{N}\\p{P}]')) AS k, len(regexp_extract_all(c, '[.!?…]+')) AS m FROM c)
+  SELECT doc_id, CASE WHEN big THEN 'INPUT_TOO_LARGE' END AS error, w AS word_count, k AS token_count,
+    CASE WHEN lang <> 'en' THEN 'UNSUPPORTED_LANGUAGE' WHEN w < 250 THEN 'INSUFFICIENT_TEXT' WHEN w / greatest(1, m) > 40 THEN 'INSUFFICIENT_STRUCTURE'
+      ELSE 'UNVERIFIED_PROVENANCE' END AS status, lang = 'en' AND w > 0 AS scored, lang = 'en' AND w > 0 AS measured, lang <> 'en' OR w = 0 AS refused FROM n""")
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are scored at all, and what the others have instead. None is in the other language with an instrument."""
+    return _lexical(spark, sf_dir).select(
+        "doc_id", "error.error", "prep.word_count", "prep.token_count", "gate.status", F.col("style.style_index").isNotNull().alias("scored"),
+        F.col("readability.gunning_fog").isNotNull().alias("measured"), F.col("lexical").isNull().alias("refused"),
+    )
+
+
 @query()
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate_report(_lexical(spark, sf_dir), "--both", "2026-01-01", policy=POLICY)

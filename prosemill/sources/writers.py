@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, FractionalType, MapType, StructType
 
 from prosemill.operators.integrity import input_sha256
 
@@ -18,6 +19,32 @@ def golden(scored: DataFrame, path: str, key: str = "doc_id") -> None:
     scored.coalesce(1).sortWithinPartitions(key).write.json(path)
 
 
+def differing(found: DataFrame, golden: DataFrame, key: str = "doc_id", tolerance: float = 0.5) -> DataFrame:
+    """key, field, wanted, got of what differs from golden results: numbers with a fraction by more than tolerance.
+
+    All else must be equal, and null where it is null. A row that only one side has differs in every field that isn't null.
+    """
+    fields = [(f.name, f.dataType) for f in golden.schema if f.name != key]
+    both = golden.select(key, F.struct(*[F.col(n) for n, _ in fields]).alias("wanted")).join(
+        found.select(key, F.struct(*[F.col(n).cast(t).alias(n) for n, t in fields]).alias("got")), key, "full"
+    )
+
+    def differs(name: str, kind: DataType) -> Column:
+        a, b = F.col("wanted")[name], F.col("got")[name]
+        if isinstance(kind, FractionalType):
+            return F.when(a.isNull() | b.isNull(), a.isNotNull() | b.isNotNull()).otherwise(F.abs(a - b) > tolerance)
+        return ~a.eqNullSafe(b)
+
+    def text(side: str, name: str, kind: DataType) -> Column:
+        value = F.col(side)[name]
+        return F.to_json(value) if isinstance(kind, (ArrayType, MapType, StructType)) else value.cast("string")
+
+    rows = [
+        F.when(differs(n, t), F.struct(F.lit(n).alias("field"), text("wanted", n, t).alias("wanted"), text("got", n, t).alias("got"))) for n, t in fields
+    ]
+    return both.select(key, F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
+
+
 def audit_log(scored: DataFrame, event: str = "score") -> DataFrame:
     """One JSON line for each document: sizes, codes and flags, never its text. Fields are in the order of names."""
 

@@ -1,5 +1,6 @@
 """Text primitives and measures against plain Python and hand-made cases."""
 
+import dataclasses
 import random
 import re
 
@@ -111,10 +112,33 @@ def test_boundaries_move_to_the_next_kept_sentence(spark):
     assert split["score"] is None and split["transitions"] == 0
 
 
-def test_hashed_vectors_are_unit_vectors(spark):
-    v = one(spark, semantic.hashed_vector(F.col("w")), w=["a", "b", "a"])
-    assert sum(x * x for x in v) == pytest.approx(1) and len(v) == 64
-    assert sum(one(spark, semantic.hashed_vector(F.col("w")), w=[])) == 0
+def test_vectors_take_the_place_of_words(spark):
+    texts = sentences("A b c.", "D e f.", "G h i.")
+    vector = lambda *x: F.array(*map(F.lit, x))
+    vectors = F.create_map(F.lit(0), vector(1.0, 0.0), F.lit(1), vector(3.0, 4.0), F.lit(2), vector(0.0, 2.0))
+    got = one(spark, semantic.analyze(texts, None, vectors=vectors, labels=F.array(F.lit("ORG"))))
+    assert got["adjacent_sentence_similarity"] == 0.7 and got["entity_labels"] == ["ORG"]
+    assert [e["note"] for e in got["evidence"]] == ["high overlap", "moderate overlap"]
+    some = F.create_map(F.lit(0), vector(1.0, 0.0))  # not every sentence has one: words are compared
+    assert one(spark, semantic.analyze(texts, None, vectors=some))["adjacent_sentence_similarity"] == 0.0
+    assert one(spark, semantic.cosine(vector(0.0, 0.0), vector(1.0, 0.0))) is None
+
+
+def test_neighbours(spark):
+    df = spark.createDataFrame([("x", 1, ["a", "b"]), ("x", 3, ["a"]), ("y", 2, ["a"]), ("x", 9, [])], "g string, at int, w array<string>")
+    got = [tuple(r) for r in semantic.neighbours(df, "g", "at", "w", semantic.word_cosine).orderBy("at").collect()]
+    assert got == [("x", 1, 3, pytest.approx(0.5**0.5)), ("x", 3, 9, 0.0)]
+
+
+def test_parses(spark):
+    of = lambda *x: F.struct(*[F.lit(v).alias(k) for k, v in zip(("words", "clauses", "subordinate", "depth", "passive"), x, strict=True)])
+    parses = F.create_map(F.lit(0), of(20, 3, 2, 8, True), F.lit(1), of(10, 0, 0, 3, False))
+    got = one(spark, syntactic.analyze_parsed(sentences("One.", "Two."), parses))
+    assert (got["mean_sentence_length"], got["clause_density"], got["subordination_index"], got["dependency_depth"], got["passive_ratio"]) == (15.0, 2.0, 1.0, 5.5, 0.5)
+    parts = ((15.0 - 8) / 22, 0.30), ((2.0 - 1) / 2.5, 0.35), (1.0 / 1.5, 0.25), ((5.5 - 2) / 8, 0.10)
+    assert got["score"] == round(sum(100 * v * w for v, w in parts), 1)
+    first = got["evidence"][0]
+    assert first["triggered_by"] == ["clauses:3", "subordinate_clauses:2", "dep_depth:8", "passive_voice"] and first["contribution"] == pytest.approx(3.08)
 
 
 def test_evidence_ranks(spark):
@@ -138,7 +162,53 @@ def test_indonesian_rules(spark):
     assert measure(spark, "Dia tidur sejak adik berangkat.")[:2] == (2.0, 1.0)
     assert measure(spark, "Dia pulang karena hujan, tetapi kami tinggal.")[:2] == (3.0, 1.0)
     assert measure(spark, "Surat itu ditulis kemarin.")[2] == 1.0 and measure(spark, "Dia ada dirumah.")[2] == 0.0
-    assert measure(spark, "Dia pulang krn hujan.") == measure(spark, "Dia pulang karena hujan.")[:3] + (1,)
+    assert measure(spark, "Dia pulang soalnya hujan.") == measure(spark, "Dia pulang karena hujan.")[:3] + (1,)
+
+
+def test_places_and_pronouns_are_no_passives(spark):
+    passive = lambda w, rules=syntactic.INDONESIAN: one(spark, syntactic.affixed_passive(F.lit(w), rules))
+    for w in "dimana diantara diatas disini didalam dirumah dikampus dikantor dipantai ditoko diri dia dan makan terjadi".split():
+        assert not passive(w), w
+    for w in "ditulis dirumahkan dijalankan dibacakan ditemui dimakan".split():
+        assert passive(w), w
+    some = dataclasses.replace(syntactic.INDONESIAN, roots=frozenset(["tulis", "rumah", "temu"]))
+    assert [passive(w, some) for w in ("ditulis", "dirumahkan", "ditemui", "dinding", "dirumah")] == [True, True, True, False, False]
+    assert not one(spark, syntactic.verb_like(F.lit("tersebut"), syntactic.INDONESIAN)) and one(spark, syntactic.verb_like(F.lit("bekerja"), syntactic.INDONESIAN))
+
+
+def test_vocd_without_a_fit():
+    assert lexical.vocd_of([f"w{k}" for k in range(200)]) is None  # no word recurs
+    assert lexical.vocd_of(["a", "b"] * 100) is not None
+
+
+def known_measures(spark, words, lexicon):
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id int, text string").withColumn("lang", F.lit("en"))
+    table = spark.createDataFrame([("en", w, z, s) for w, z, s in lexicon], "lang string, word string, zipf double, is_stop boolean")
+    rows = docs.join(lexical.with_lexicon(docs, table), "doc_id", "left").withColumn("w", F.split("text", " "))
+    shares = F.struct("alpha_token_count", "known_token_count", "oov_rate", "rare_word_share", "lexical_density", "known", "rare_once")
+    rows = rows.withColumn("d", lexical.diversity_of_known(F.array_join("w", " "), F.array_join("known", " ")))
+    text = F.array(F.struct(F.lit(0).alias("idx"), F.col("text").alias("text")))
+    return rows.select(lexical.analyze(F.col("w"), text, F.col("lang"), F.col("d"), shares).alias("v")).first()["v"]
+
+
+def test_lexical_measures_are_of_known_words(spark):
+    lexicon = [("the", 7.0, True), ("house", 5.0, False), ("obscure", 3.0, False), ("arcane", 3.4, False), ("hill", 3.0, False)]
+    words = "the house qzxv obscure the obscure arcane hill wkpfff the".split()
+    got = known_measures(spark, words, lexicon)
+    assert (got["alpha_token_count"], got["known_token_count"], got["oov_rate"]) == (10, 8, 0.2) and got["low_reliability"]
+    assert got["mattr"] == round(5 / 8, 3) and got["lexical_density"] == round(5 / 8, 3) and got["rare_word_share"] == 0.5
+    assert got["evidence"][0]["triggered_by"] == ["rare:arcane", "rare_share:0.1"]  # once, long, and known but rare
+    assert set(got["score_weights"]) == {"mattr", "lexical_density"} and [w.split(":")[0] for w in got["warnings"]] == ["mtld_too_short", "vocd_too_short"]
+    single = [f"{a}{b}o" for a in "bcdfghjk" for b in "aeiouxyz"]
+    many = known_measures(spark, single, [(w, 4.0, False) for w in single])
+    assert many["vocd_d"] is None and many["warnings"] == ["vocd_failed: no curve fits"] and many["mtld"] is not None
+
+
+def test_no_known_words_measure_nothing(spark):
+    got = known_measures(spark, ["qzxv", "wkpf"], [("house", 5.0, False)])
+    assert got["error"] == "INSUFFICIENT_TEXT" and got["warnings"] == ["insufficient_text: no dictionary words"] and got["evidence"] == []
+    assert {got[k] for k in ("score", "mattr", "mtld", "vocd_d", "lexical_density", "avg_word_length", "rare_word_share", "repeated_ngram_share")} == {None}
+    assert (got["alpha_token_count"], got["known_token_count"], got["oov_rate"], got["score_weights"]) == (2, 0, 1.0, {})
 
 
 def test_english_rules(spark):
