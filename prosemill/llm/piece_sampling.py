@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -491,3 +492,24 @@ def sample_encodings(
         F.xxhash64(col(id_col).cast("long"), F.lit(seed)).alias("seed"),
     )
     return plain.mapInArrow(run, SCHEMA)
+
+
+def decode_encodings(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", model: str = MODEL) -> DataFrame:
+    """rows, with all their columns, and the text of each array of piece ids as text_col.
+
+    No pieces give the empty text, a null array gives null; an id that the model doesn't have is an error. Equal rows
+    give equal texts, no rows none.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(load_pieces(model).table)
+
+    @F.pandas_udf("string")
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        decoder = Decoder(shared.value)
+        for batch in batches:
+            some = batch.notna()
+            found = decoder.decode([np.asarray(x, np.int64) for x in batch[some]]) if some.any() else []
+            out = pd.Series([None] * len(batch), dtype=object)
+            out[some.to_numpy()] = [x.decode("utf-8", "surrogatepass") for x in found]
+            yield out
+
+    return rows.withColumn(text_col, text(col(ids_col)))

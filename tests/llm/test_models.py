@@ -213,6 +213,16 @@ def test_samples_of_odd_documents(spark):
     assert piece_sampling.sample_encodings(docs.where("false")).count() == 0
 
 
+def test_ids_are_decoded(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["The  cat\nsat ", "", None, "é😀 ▁x", " a b" * 50])], "doc_id long, text string")
+    rows = piece_sampling.decode_encodings(piece_sampling.sample_encodings(docs, samples=2)).collect()
+    wanted = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert len(rows) > 5 and all(r["decoded"] == wanted[r["doc_id"]] for r in rows)
+    none = piece_sampling.sample_encodings(docs, samples=1, with_ids=False)
+    assert {r["decoded"] for r in piece_sampling.decode_encodings(none).collect()} == {None}
+    assert piece_sampling.decode_encodings(none.where("false")).count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
