@@ -224,6 +224,9 @@ def test_language(spark, sf_dir):
     text = "Saya tidak tahu apakah mereka akan datang karena hujan turun dengan deras dan jalan itu penuh dengan air."
     got = one(spark, language.detect_language(F.lit(text)))
     assert got["lang"] == "id" and got["mixed_language_share"] == 0.0
+    malay = "Saya percaya bahawa mereka tidak akan datang kerana hujan, manakala kami sahaja yang ada di rumah itu dengan dia."
+    got = one(spark, language.detect_language(F.lit(malay)))
+    assert got["lang"] == "ms" and not got["supported"] and got["mixed_language_share"] is None
     blank = one(spark, language.detect_language(F.lit("  ")))
     assert (blank["lang"], blank["confidence"], blank["supported"], blank["mixed_language_share"]) == ("en", 0.0, False, None)
     assert one(spark, language.detect_language(F.lit("123 !!")))["supported"] is False
