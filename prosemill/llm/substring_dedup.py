@@ -37,8 +37,8 @@ SPAN = 4
 #: Bits of the filters: repeated anchors and windows, heavy anchors, marked documents. They let more through as they fill.
 REPEATED_BITS, HEAVY_BITS, MARKED_BITS = 27, 23, 24
 #: Segments of a shard, equal ones included. An anchor with more than HEAVY is cut into parts.
-SHARD_SEGMENTS = 50_000
-HEAVY = SHARD_SEGMENTS // 10
+SHARD_SEGMENTS = 10_000
+HEAVY = SHARD_SEGMENTS // 5
 #: Digests of segments that a task remembers at once.
 REMEMBERED = 100_000
 

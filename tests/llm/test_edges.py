@@ -8,12 +8,13 @@ import zlib
 from collections import Counter
 from itertools import product
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from prosemill.llm import common, jaccard_join, line_dedup, mixing, quality_gam, quality_rules
+from prosemill.llm import common, jaccard_join, line_dedup, mixing, quality_gam, quality_rules, queries
 from tests.llm import edge
 
 CLASHING = (
@@ -247,3 +248,15 @@ def test_posteriors_match_plain_bayes(spark, sf_dir):
             odds.append(o)
         p = np.exp(np.array(odds) - max(odds))
         assert [r[f"p_{d}"] for d in names] == pytest.approx((p / p.sum()).tolist(), abs=1e-9), r["doc_id"]
+
+
+@pytest.mark.parametrize("name", ["rule_counts", "edited_texts", "shard_laws", "mixture_tokens", "op5_line_dedup"])
+def test_query_equals_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    found = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in found.description]
+    df = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(found.fetchall())
