@@ -43,7 +43,7 @@ HOT_BITS, REPEATED_BITS, WANTED_BITS = 23, 27, 24
 #: Counters in a row, and parts that the tasks' counters are added up in first.
 CHUNK, FAN_IN = 1 << 16, 64
 #: The stars' centres that a set is checked against in a list, and parts that the list of a late shingle is dealt in.
-CENTRES, PARTS = 4, 16
+CENTRES, PARTS = 8, 16
 #: Bits of a set's parity sketch.
 SKETCH = 1024
 #: What a signature costs to write and to shuffle, in comparisons of list members.
@@ -269,14 +269,14 @@ def _verified(pairs: DataFrame, plain: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([some.column("dk"), some.column("th"), pa.array(sets, pa.list_(pa.int64()))], ["dk", "th", "s"])
 
     found = plain.select("dk", "th", "text", key.alias("key")).mapInArrow(run, "dk long, th long, s array<long>")
-    # sets of other nodes, which a bitmap that fills lets through, find no pair below
-    sets = written(found.dropDuplicates(["dk", "th"]).select("dk", "s"), "sets")
-    bits.destroy()
+    # one shuffle of the sets is for both ends; sets of other nodes, which a bitmap that fills lets through, find no pair
+    sets = found.repartition("dk").dropDuplicates(["dk", "th"])
     x, y = sets.select(F.col("dk").alias("a"), F.col("s").alias("x")), sets.select(F.col("dk").alias("b"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     linked = pairs.select("a", "b").join(y, "b").join(x, "a").where(DEN * both >= NUM * (F.size("x") + F.size("y") - both))
     out = written(linked.select("a", "b"), "links")
-    dropped(sets, pairs)
+    bits.destroy()
+    dropped(pairs)
     return out
 
 
