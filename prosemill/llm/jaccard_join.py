@@ -17,13 +17,14 @@ first signature that two sets share has their pair in one of these, unless both
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosemill.llm.common import (
@@ -44,8 +45,8 @@ HOT_BITS, REPEATED_BITS, WANTED_BITS = 23, 27, 24
 CHUNK, FAN_IN = 1 << 16, 64
 #: The stars' centres that a set is checked against in a list, and parts that the list of a late shingle is dealt in.
 CENTRES, PARTS = 8, 16
-#: Bits of a set's parity sketch.
-SKETCH = 1024
+#: Bits of a set's parity sketch, and of what it is folded to where lists are joined.
+SKETCH, FOLDED = 2048, 512
 #: What a signature costs to write and to shuffle, in comparisons of list members.
 ROW_COST = 8
 
@@ -375,14 +376,14 @@ def _rest(grouped: DataFrame, nodes: DataFrame) -> DataFrame:
 
     grouped: sig, kind, place, dk, n, late, comp. Pairs meet by signature and size: a size class reaches from one power of
     DEN / NUM to the next, and of a pair that links the larger set is in the class of the smaller or in the next one.
-    The sketches are folded in two: half as many bits still differ by no more than the sets.
+    The sketches are folded to FOLDED bits, which still differ by no more than the sets.
     """
     several = grouped.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    half = len(PARITIES) // 2
-    folded = [F.col(x).bitwiseXOR(F.col(y)).alias(x) for x, y in zip(PARITIES[:half], PARITIES[half:], strict=True)]
+    kept = PARITIES[: FOLDED // 64]
+    folded = [reduce(Column.bitwiseXOR, map(F.col, PARITIES[i :: len(kept)])).alias(k) for i, k in enumerate(kept)]
     left = written(grouped.join(several, "sig", "left_semi").join(nodes.select("dk", *folded), "dk"), "rest")
     size = F.floor(F.log("n") / F.log(F.lit(DEN / NUM)))
-    columns = ("dk", "n", "late", "comp", "kind", "place", *PARITIES[:half])
+    columns = ("dk", "n", "late", "comp", "kind", "place", *kept)
     side = lambda x, at: left.select("sig", at.alias("at"), *[F.col(c).alias(f"{c}_{x}") for c in columns])
     has = lambda c, bit: F.col(c).bitwiseAND(F.lit(bit)) > 0
     one = side("one", F.explode(F.array(size, size + 1))).where(has("kind_one", INDEX))
@@ -396,7 +397,7 @@ def _rest(grouped: DataFrame, nodes: DataFrame) -> DataFrame:
         .where(smaller & (DEN * F.col("n_one") >= NUM * F.col("n_two")) & (F.col("comp_one") != F.col("comp_two")))
         .where(~has("kind_one", LATE) | (F.least("late_one", "late_two") >= needed))
         .where(~has("kind_one", LIST) | (reach >= needed))
-        .where((NUM + DEN) * _differ("one", "two", PARITIES[:half]) <= both)
+        .where((NUM + DEN) * _differ("one", "two", kept) <= both)
         .select(F.col("dk_one").alias("a"), F.col("dk_two").alias("b"))
     )
     found = _near(pairs, nodes)
