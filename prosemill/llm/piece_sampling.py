@@ -26,6 +26,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +36,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: How strongly frequent pieces are preferred: the exponent of a piece's rank. The more, the less varied.
 SHARPNESS = 1.0
-#: Texts go through the lattice in groups of so many characters, or alone if longer.
-GROUP_CHARS = 800_000
-#: A worker's cache of lattices is begun anew beyond so many edges.
-MOST_EDGES = 8_000_000
+#: Texts go through the lattice in groups of so many bytes, or alone if longer.
+GROUP_BYTES = 100_000
+#: New units are added in parts of so many characters, or alone if longer.
+PART_CHARS = 20_000
+#: A worker's cache of lattices is begun anew beyond so many edges. These three bound what a worker needs, as executors
+#: of long jobs have little memory left beside their JVM.
+MOST_EDGES = 500_000
 #: Steps of a segmentation whose alternatives the search weighs singly.
 STEPS = 64
 #: A choice of a log-probability above this leaves nothing aside.
@@ -354,6 +358,16 @@ def take(searches: list[Search], edges: np.ndarray, units: np.ndarray, cut: np.n
         s.put(path, int(until[i]), (), tails[i])
 
 
+def groups(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges that cover all places in order; a range of more than one has a sum of at most `most`."""
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] - sizes[a] + most, side="right")))
+        yield a, b
+        a = b
+
+
 def sample(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples: ids, log-probability, perturbed value and log inclusion probability."""
     units = [lattices.unit.findall(" " + t) if t else [] for t in texts]
@@ -363,7 +377,9 @@ def sample(lattices: Lattices, texts: list[str], seeds: np.ndarray, k: int) -> l
     first_nodes = list(map(lattices.known.get, flat))
     if None in first_nodes:
         unknown = [i for i, x in enumerate(first_nodes) if x is None]
-        lattices.add(list(dict.fromkeys(flat[i] for i in unknown)))
+        new = list(dict.fromkeys(flat[i] for i in unknown))
+        for a, b in groups(np.array([len(u) for u in new]), PART_CHARS):
+            lattices.add(new[a:b])
         for i in unknown:
             first_nodes[i] = lattices.known[flat[i]]
     nodes = np.array(first_nodes, np.int64)
@@ -443,6 +459,33 @@ SCHEMA = (
 )
 
 
+def encoded(batches: Iterator[pa.RecordBatch], pieces: Pieces, samples: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA for batches of id, text and seed."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    lattices, decoder = Lattices(pieces), Decoder(pieces.table)
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+    for batch in slices(batches):
+        ids, every = batch.column(0).to_pylist(), batch.column(1)
+        seeds = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+        for a, b in groups(pc.fill_null(pc.binary_length(every), 0).to_numpy(zero_copy_only=False).astype(np.int64), GROUP_BYTES):
+            texts = [x or "" for x in every.slice(a, b - a).to_pylist()]
+            found = sample(lattices, texts, seeds[a:b], samples)
+            cut = [x for rows in found for x, *_ in rows]
+            decoded = iter(decoder.decode(cut))
+            rows = []
+            for i, text, samples_ in zip(ids[a:b], texts, found, strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                for r, (x, lp, g, q) in enumerate(samples_, 1):
+                    rows.append((i, r, len(x), hashlib.sha256(x.tobytes()).hexdigest(), lp, g, q, next(decoded) == raw))
+            arrays = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            if with_ids:
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(offsets, np.concatenate(cut)))
+            else:
+                arrays.append(pa.nulls(len(rows), pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+
 def sample_encodings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, samples: int = SAMPLES,
     sharpness: float = SHARPNESS, seed: int = 0, with_ids: bool = True,
@@ -456,36 +499,9 @@ def sample_encodings(
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tuple(vars(load_pieces(model, sharpness)).values()))
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(*shared.value)
-        lattices, decoder = Lattices(pieces), Decoder(pieces.table)
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
-        for batch in slices(batches):
-            ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
-            seeds = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            a = 0
-            while a < len(texts):
-                b, chars = a + 1, len(texts[a])
-                while b < len(texts) and chars + len(texts[b]) <= GROUP_CHARS:
-                    chars, b = chars + len(texts[b]), b + 1
-                found = sample(lattices, texts[a:b], seeds[a:b], samples)
-                cut = [x for rows in found for x, *_ in rows]
-                decoded = iter(decoder.decode(cut))
-                rows = []
-                for i, samples_ in enumerate(found, a):
-                    raw = texts[i].encode("utf-8", "surrogatepass")
-                    for r, (x, lp, g, q) in enumerate(samples_, 1):
-                        rows.append((ids[i], r, len(x), hashlib.sha256(x.tobytes()).hexdigest(), lp, g, q, next(decoded) == raw))
-                arrays = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                if with_ids:
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int32)
-                    arrays.append(pa.ListArray.from_arrays(offsets, np.concatenate(cut)))
-                else:
-                    arrays.append(pa.nulls(len(rows), pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(arrays, names)
-                a = b
+        return encoded(batches, Pieces(*shared.value), samples, with_ids)
 
     plain = docs.select(
         col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"),

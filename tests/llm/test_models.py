@@ -1,9 +1,11 @@
 """The quality model, the mixture, the sampled segmentations, the pipeline and the registry."""
 
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +225,24 @@ def test_ids_are_decoded(spark):
     assert piece_sampling.decode_encodings(none.where("false")).count() == 0
 
 
+def test_a_worker_needs_little_memory(pieces):
+    rng = np.random.default_rng(0)
+    texts = ["".join(map(chr, x)) for x in rng.choice(np.array([*b"abcdefghijklmnopqrstuvwxyz", 32, 32, 32, 32]), (60, 50_000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts), pa.array(range(60))], ["doc_id", "text", "seed"])
+    tracemalloc.start()
+    got = [r for b in piece_sampling.encoded(iter([batch]), pieces, 2, False) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 120 and all(r["round_trip"] for r in got)
+    assert peak < 120e6
+
+
+def test_groups_of_texts():
+    sizes = np.array([3, 0, 4, 9, 1, 1, 0, 20, 20, 0])
+    assert list(piece_sampling.groups(sizes, 7)) == [(0, 3), (3, 4), (4, 7), (7, 8), (8, 9), (9, 10)]
+    assert list(piece_sampling.groups(np.empty(0, np.int64), 7)) == []
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
